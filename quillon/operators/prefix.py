@@ -14,8 +14,8 @@ def running_total(
     ``bucket`` is a column that never decreases along ``order`` within ``keys``; it cuts
     each group, however large, into pieces. Piece sums are combined map-side, their
     prefix runs over pieces only, and the inner prefix runs within one piece. Rows that
-    tie in ``order`` get some fixed place only if ``order`` is total. Null keys form a
-    group of their own; an empty table stays empty.
+    tie in ``order`` get some fixed place only if ``order`` is total. ``keys`` must hold no
+    nulls (map them first); an empty table stays empty.
     """
     by = [*keys, bucket]
     v = f"__{out}_v"
@@ -28,7 +28,7 @@ def running_total(
         F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__head"),
     )
     inner = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    on = [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in by]
+    on = [F.col(k) == F.col(f"__h_{k}") for k in by]
     joined = base.join(heads, on, "inner")
     return joined.withColumn(
         out, F.col("__head") + F.coalesce(F.sum(v).over(inner), F.lit(0))
