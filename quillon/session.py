@@ -28,10 +28,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget how it was made."""
+def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and forget how it was made.
+
+    A checkpoint hands the size estimate of its plan on to its readers. A join's estimate
+    is the product of its sides, so over the rounds of an iteration the number itself grows
+    until planning takes longer than running. The rows are therefore given a new, plain
+    plan. ``keep_layout`` keeps the checkpoint's own plan, which knows how the rows are
+    partitioned, for frames that many rounds join but none derives from another.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if keep_layout:
+        return done
+    jvm = df.sparkSession._jsparkSession
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(jvm.internalCreateDataFrame(rows, done._jdf.schema(), False), df.sparkSession)
 
 
 def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
