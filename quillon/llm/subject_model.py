@@ -22,15 +22,16 @@ NGRAMS = (3, 4, 5)
 MAX_LABELED = 20_000
 TRAIN_PARTS = 8
 DOC_STEPS = 40
-SENTENCE_STEPS = 50
+SENTENCE_STEPS = 70
 RATE = 0.05
 SEED = 9
-SURE = 0.5
+SURE = 0.4
 LEAST_SHARE = 0.25
 CACHED_WORDS = 300_000
 
 _UNSEEN = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
 _BREAK = re.compile(r"[\r\n]+|(?<=[.!?])[\"')\]]*,?\s+")
+_HEAD = re.compile(r"(?m)^\s*\[[\d:.\- t]+\]\s*\w+\s")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -38,11 +39,11 @@ def sentence_words(text: str | None) -> list[list[str]]:
     """The sentences of a text as lists of lower-case words; sentences without a word are none.
 
     Line ends and ``. ! ?`` before white space end a sentence. Soft hyphens and zero-width
-    characters are dropped first. Null, empty and blank texts have no sentences.
+    characters are dropped first, then the time and level at the head of a log line. Null, empty and blank texts have no sentences.
     """
     if not isinstance(text, str):
         return []
-    found = (_WORD.findall(s) for s in _BREAK.split(_UNSEEN.sub("", text).lower()))
+    found = (_WORD.findall(s) for s in _BREAK.split(_HEAD.sub("", _UNSEEN.sub("", text).lower())))
     return [w for w in found if w]
 
 
@@ -253,8 +254,8 @@ def train_subjects(labelled: DataFrame, subjects: list[str], seed: int = SEED, d
 def sentence_subjects(documents: DataFrame, model: SubjectModel, keep: list[str]) -> DataFrame:
     """``keep``, n_sentences and counts: sentences of every text by subject, whole texts.
 
-    A sentence is about the subject with the largest output if its chance is above one
-    half, else about none. Null and empty texts have no sentences. No shuffle.
+    A sentence is about the subject with the largest output if its chance is above
+    SURE, else about none. Null and empty texts have no sentences. No shuffle.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kinds = dict(documents.dtypes)
