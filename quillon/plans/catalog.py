@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from quillon.plans import scores
+
+_MODULES: list = [scores]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
