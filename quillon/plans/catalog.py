@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import scores
+from quillon.plans import evaluation, manifest, scores
 
-_MODULES: list = [scores]
+_MODULES: list = [scores, evaluation, manifest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -41,12 +41,9 @@ LSE = "list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z)
 SOFT = "list_transform(z, lambda x: exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z)))))"
 
 
-def auroc_sql(source: str, score: str, by: str = "") -> str:
-    p = f"partition by {by}" if by else ""
-    g = f"{by}," if by else ""
-    return f"""(select {g} sum(case when pos then rk end) as rs, sum(pos::int) as np, sum((not pos)::int) as nn from (
-    select {g} pos, rank() over ({p} order by {score}) + (count(*) over ({p + ' and ' if False else ('partition by ' + by + ', ' + score) if by else 'partition by ' + score}) - 1) / 2.0 as rk
-    from {source}) {('group by ' + by) if by else ''})"""
+def auroc_sql(source: str, score: str) -> str:
+    return f"""(select sum(case when pos then rk end) as rs, sum(pos::int) as np, sum((not pos)::int) as nn from (
+    select pos, rank() over (order by {score}) + (count(*) over (partition by {score}) - 1) / 2.0 as rk from {source}))"""
 
 
 def _means(a: DataFrame) -> DataFrame:
