@@ -78,7 +78,8 @@ def affine(a: Column, weights: Column, bias: Column) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return total(a) / F.size(a)
+    """Mean of the elements; null for an empty array."""
+    return F.try_divide(total(a), F.size(a))
 
 
 def _centred(a: Column) -> Column:
@@ -91,8 +92,8 @@ def structural_similarity(a: Column, b: Column, c1: float = 1e-4, c2: float = 9e
 
     def from_parts(p: Column) -> Column:
         ma, mb, da, db = p["ma"], p["mb"], p["da"], p["db"]
-        spread = (dot(da, da) + dot(db, db)) / n
-        return ((2 * ma * mb + c1) * (2 * dot(da, db) / n + c2)) / ((ma * ma + mb * mb + c1) * (spread + c2))
+        spread = F.try_divide(dot(da, da) + dot(db, db), n)
+        return ((2 * ma * mb + c1) * (F.try_divide(2 * dot(da, db), n) + c2)) / ((ma * ma + mb * mb + c1) * (spread + c2))
 
     parts = F.struct(mean(a).alias("ma"), mean(b).alias("mb"), _centred(a).alias("da"), _centred(b).alias("db"))
     return let(parts, from_parts)

@@ -22,7 +22,8 @@ def development_threshold(known: DataFrame, unknown: DataFrame, score: str, targ
     counts = rows.where("s is not null and not isnan(s)").groupBy("s").agg(F.sum("k").alias("k"), F.sum(1 - F.col("k")).alias("u"))
     upto = Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(F.lit(0))
-    r = counts.select("s", (F.sum("k").over(upto) / F.sum("k").over(every)).alias("known_recall"), (1 - F.sum("u").over(upto) / F.sum("u").over(every)).alias("unknown_recall"))
+    share = lambda c: F.try_divide(F.sum(c).over(upto), F.sum(c).over(every))
+    r = counts.select("s", share("k").alias("known_recall"), (1 - share("u")).alias("unknown_recall")).where("unknown_recall is not null")
     allowed = r.where(F.col("known_recall") + 1e-12 >= target)
     best = allowed.agg(F.max_by(F.struct("s", "known_recall", "unknown_recall"), F.struct((0.5 * (F.col("known_recall") + F.col("unknown_recall"))).alias("b"), (-F.col("s")).alias("n"))).alias("b"))
     return best.where("b is not null").select(F.col("b.s").alias("threshold"), "b.known_recall", "b.unknown_recall")
@@ -42,7 +43,7 @@ def empirical_percentile(rows: DataFrame, reference: DataFrame, score: str, out:
     counts = rows.select(F.col(score).alias("__s"), F.lit(0).alias("__r")).unionByName(reference.select(F.col(score).alias("__s"), F.lit(1).alias("__r")))
     by = counts.where("__s is not null").groupBy("__s").agg(F.sum("__r").alias("__n"))
     upto = Window.partitionBy(F.lit(0)).orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)
-    share = by.select("__s", (F.sum("__n").over(upto) / F.sum("__n").over(Window.partitionBy(F.lit(0)))).alias(out))
+    share = by.select("__s", F.try_divide(F.sum("__n").over(upto), F.sum("__n").over(Window.partitionBy(F.lit(0)))).alias(out))
     return rows.join(share, rows[score] == share["__s"], "left").drop("__s")
 
 
@@ -73,9 +74,11 @@ def accepted(strategy: str, confidence: Column, margin: Column, unknown: Column,
 
 
 def threshold_grid(df: DataFrame, column: str, steps: int = 20) -> DataFrame:
-    """The distinct linear quantiles at 0, 1/steps, .., 1."""
+    """The distinct linear quantiles at 0, 1/steps, .., 1, to nine digits, so that the noise
+    of interpolation does not set a threshold just above the value it should equal."""
     q = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
-    return df.agg(F.percentile(column, q).alias("q")).select(F.explode(F.array_distinct("q")).alias(column))
+    tidy = F.transform("q", lambda x: F.round(x, 9))
+    return df.agg(F.percentile(column, q).alias("q")).select(F.explode(F.array_distinct(tidy)).alias(column))
 
 
 def operating_points(records: DataFrame, targets: list[float], steps: int = 20) -> DataFrame:

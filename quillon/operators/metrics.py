@@ -48,12 +48,12 @@ def fpr_at_tpr(df: DataFrame, by: list[str], positive: Column, score: Column, tp
 
 
 def roc_points(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, score, tpr, fpr): the operating point that accepts scores of at least ``score``."""
+    """(by, score, tpr, fpr): the operating point that accepts scores of at least ``score``;
+    the rate of a side without rows is null."""
     w = _group(by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     every = _group(by)
-    return counts.select(
-        *by, "score", (F.sum("pos").over(w) / F.sum("pos").over(every)).alias("tpr"), (F.sum("neg").over(w) / F.sum("neg").over(every)).alias("fpr")
-    )
+    rate = lambda c: F.try_divide(F.sum(c).over(w), F.sum(c).over(every))
+    return counts.select(*by, "score", rate("pos").alias("tpr"), rate("neg").alias("fpr"))
 
 
 def oscr(df: DataFrame, by: list[str], known: Column, correct: Column, confidence: Column) -> DataFrame:

@@ -211,7 +211,7 @@ def representative_rows(spark, d):
 
 
 SIGNALS = f"""sig as (select distinct sample_id, {split('split')} as split, {n('known_or_unknown')} as status, confidence, margin, unknown_score, coalesce(quality_pass, false) as quality, correct_if_known as correct
-  from triage_signal where confidence between 0 and 1 and margin between 0 and 1 and unknown_score between 0 and 1 and {n('known_or_unknown')} in ('known', 'unknown') and sample_id is not null)"""
+  from triage_signal where confidence between 0 and 1 and margin between 0 and 1 and unknown_score between 0 and 1 and not isnan(confidence) and not isnan(margin) and not isnan(unknown_score) and {n('known_or_unknown')} in ('known', 'unknown') and sample_id is not null)"""
 
 
 def signals(spark, d):
@@ -226,9 +226,9 @@ def signals(spark, d):
 
 TARGETS = (0.95, 0.9, 0.8, 0.7, 0.6)
 POINTS = f"""cal as (select * from sig where split = 'validation' and status = 'known'),
-gc as (select distinct unnest(quantile_cont(confidence, [{', '.join(str(i / 20) for i in range(21))}])) as c from cal),
-gm as (select distinct unnest(quantile_cont(margin, [{', '.join(str(i / 20) for i in range(21))}])) as m from cal),
-gu as (select distinct unnest(quantile_cont(unknown_score, [{', '.join(str(i / 20) for i in range(21))}])) as u from cal),
+gc as (select distinct round(x, 9) as c from (select unnest(quantile_cont(confidence, [{', '.join(str(i / 20) for i in range(21))}])) as x from cal)),
+gm as (select distinct round(x, 9) as m from (select unnest(quantile_cont(margin, [{', '.join(str(i / 20) for i in range(21))}])) as x from cal)),
+gu as (select distinct round(x, 9) as u from (select unnest(quantile_cont(unknown_score, [{', '.join(str(i / 20) for i in range(21))}])) as x from cal)),
 grid as (
   select 'confidence_only' as strategy, c, null::double as m, null::double as u, (select count(*) from cal where confidence >= c) as k from gc
   union all select 'confidence_margin', c, m, null, (select count(*) from cal where confidence >= c and margin >= m) from gc, gm

@@ -164,7 +164,7 @@ def centroid_distance_matrix(spark, d):
 own as (select a.label, sqrt(list_sum(list_transform(list_zip(e, m), lambda p: (p[1] - p[2]) ** 2))) as d, list_cosine_similarity(e, m) as c from archive a join means on a.label = means.label where split = 'train' and status = 'known'),
 w as (select label, count(*) as n, avg(d) as dispersion, avg(c) as compactness from own group by 1),
 b as (select x.label, min(sqrt(list_sum(list_transform(list_zip(x.m, y.m), lambda p: (p[1] - p[2]) ** 2)))) as separation from means x, means y where x.label != y.label group by 1)
-select label, n, round(dispersion, 6) as dispersion, round(compactness, 6) as compactness, round(separation, 6) as separation, round(separation / dispersion, 6) as ratio from w join b using (label)""")
+select label, n, round(dispersion, 6) as dispersion, round(compactness, 6) as compactness, round(separation, 6) as separation, round(separation / nullif(dispersion, 0), 6) as ratio from w join b using (label)""")
 def class_compactness(spark, d):
     a = archive(spark, d)
     m = _means(a)
@@ -173,7 +173,7 @@ def class_compactness(spark, d):
     within = own.groupBy("label").agg(F.count("*").alias("n"), F.avg(dist).alias("dispersion"), F.avg(sim).alias("compactness"))
     between = centroids.mean_distances(m, "label").where("label_a != label_b").groupBy(F.col("label_a").alias("label")).agg(F.min("distance").alias("separation"))
     return within.join(between, "label").select(
-        "label", "n", *[F.round(c, 6).alias(c) for c in ("dispersion", "compactness", "separation")], F.round(F.col("separation") / F.col("dispersion"), 6).alias("ratio")
+        "label", "n", *[F.round(c, 6).alias(c) for c in ("dispersion", "compactness", "separation")], F.round(F.try_divide("separation", F.nullif(F.col("dispersion"), F.lit(0.0))), 6).alias("ratio")
     )
 
 
