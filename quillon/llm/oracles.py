@@ -67,8 +67,8 @@ record as (
   select coalesce({_t('dataset')}, '') as dataset, confidence, unknown_score from latest
   where {_split('split')} = 'validation' and {_n('known_or_unknown')} = 'known'),
 score as (
-  select dataset, 'confidence_only' as strategy, -confidence as x from record where confidence between 0 and 1
-  union all select dataset, 'confidence_margin_msp_qc', unknown_score from record where unknown_score between 0 and 1),
+  select dataset, 'confidence_only' as strategy, -confidence as x from record where confidence between 0 and 1 and not isnan(confidence)
+  union all select dataset, 'confidence_margin_msp_qc', unknown_score from record where unknown_score between 0 and 1 and not isnan(unknown_score)),
 value as (select dataset, strategy, x, count(*) as n_ties from score group by 1, 2, 3),
 running as (
   select *, sum(n_ties) over (partition by dataset, strategy order by x) as n_kept,

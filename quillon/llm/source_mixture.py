@@ -98,7 +98,7 @@ def slot_schedule(goals: DataFrame, totals: DataFrame, block_tokens: int = BLOCK
     size = F.least(F.lit(block_tokens).cast("bigint"), F.col("source_tokens") - F.col("block") * block_tokens)
     return (
         ranked.withColumn("block", block)
-        .select("mix_id", "slot", "source", "rank", F.when(full, repeat).alias("repeat"), "block", F.coalesce(size, F.lit(0)).alias("n_tokens"))
+        .select("mix_id", "slot", "source", "rank", F.when(full, repeat).alias("repeat"), "block", F.when(full, size).otherwise(0).alias("n_tokens"))
     )
 
 

@@ -289,9 +289,11 @@ def sentence_subjects(documents: DataFrame, model: SubjectModel, keep: list[str]
 
 def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, subject, share): subjects with at least ``least_share`` of the document's
-    sentences that have a subject. Documents without such sentences have no row.
+    sentences that have a subject. Documents without such sentences have no row, nor has any without subjects.
     """
     subjects = sorted(r["subject"] for r in areas.where("subject is not null").select("subject").distinct().collect())
+    if not subjects:
+        return documents.limit(0).select("doc_id", F.lit("").alias("subject"), F.lit(0.0).alias("share"))
     model = train_subjects(labelled_documents(documents, labels, areas), subjects)
     counted = sentence_subjects(documents, model, ["doc_id"])
     total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x)
