@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from quillon.operators.prefix import running_total
 from quillon.session import cut, parallelism, small_side
 
 HUB_DEGREE = 10_000
+SMALL_EDGES = 300_000
 
 # Ids that relate nothing.
 NO_IDS = ("", "n/a", "unknown")
@@ -40,52 +44,70 @@ def relation_edges(rows: DataFrame, record: Column, entities: dict[str, Column],
     return direct.union(leaves.select("a", "b")).union(leaves.select("b", "hub").distinct())
 
 
-def frontier_components(edges: DataFrame) -> DataFrame:
+def _merge_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over the edges of one task; a set is named by its least (hash, node)."""
+    root: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for pdf in batches:
+        for a, ha, b, hb in pdf[["a", "ha", "b", "hb"]].itertuples(index=False):
+            x, y = find((ha, a)), find((hb, b))
+            root[max(x, y)] = min(x, y)
+    yield pd.DataFrame([(x[1], find(x)[1]) for x in list(root)], columns=["node", "component"])
+
+
+def frontier_components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(node, component) for every node of the undirected ``edges`` (a, b).
 
     Adjacency lists are hash-partitioned once. Every node whose hash is below those of its
     neighbours is a seed, so each component has at least one; all seeds expand at the same
     time, a level a round. A node takes the smallest seed that reaches it first; where
     another seed reaches it, now or later, the two collide. When the frontiers are
-    exhausted, the collisions form a graph on seeds, smaller than the one before, that is
-    solved in the same way until no two seeds collide.
+    exhausted, the collisions form a graph on seeds, smaller than the one before. With at
+    most ``small_edges`` distinct collisions one task merges it by union-find; a larger one
+    is searched in the same way again, until it is small or no seeds collide.
 
     Each round is checkpointed. Rounds are few, since a node is at most as far from a seed
-    as its chain of falling hashes is long. The component is named by its last seed; the
-    name is a node and the same in every run. Empty input gives an empty result.
+    as its chain of falling hashes is long. A component is named by its node with the least
+    hash, whichever way it was merged. Empty input gives an empty result.
     """
-    spark = edges.sparkSession
-    parts = parallelism(spark)
+    parts = parallelism(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct()
-    loops = edges.select(F.col("a").alias("node"))
     adjacency = cut(both.repartition(parts, "a"), keep_layout=True)
     nodes = adjacency.groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), F.col("b").alias("b"))).alias("least"))
     own = F.struct(F.xxhash64("a"), F.col("a").alias("b"))
     frontier = cut(nodes.where(own < F.col("least")).select(F.col("a").alias("node"), F.col("a").alias("seed")))
     visited, collisions = frontier, None
     while not frontier.isEmpty():
-        sent = (
-            frontier.join(adjacency, F.col("node") == F.col("a"))
-            .groupBy("b", "seed")
-            .agg(F.lit(1).alias("__one"))
-            .select("b", "seed")
-        )
-        first = sent.groupBy("b").agg(F.min("seed").alias("first"))
+        sent = frontier.join(adjacency, F.col("node") == F.col("a")).select("b", "seed").distinct()
+        reached = sent.groupBy("b").agg(F.min("seed").alias("first"))
         held = visited.select(F.col("node").alias("n"), F.col("seed").alias("held"))
         met = cut(
-            sent.join(first, "b").join(held, F.col("b") == F.col("n"), "left")
+            sent.join(reached, "b").join(held, F.col("b") == F.col("n"), "left")
             .select("b", "seed", F.coalesce("held", "first").alias("taken"), F.col("held").isNull().alias("fresh"))
+            .where("fresh or seed != taken")
         )
-        clash = met.where("seed != taken").select(F.col("taken").alias("a"), F.col("seed").alias("b"))
+        clash = met.where("seed != taken").select(F.least("taken", "seed").alias("a"), F.greatest("taken", "seed").alias("b"))
         collisions = clash if collisions is None else collisions.union(clash)
         frontier = met.where("fresh and seed = taken").select(F.col("b").alias("node"), "seed")
-        visited = cut(visited.union(frontier).repartition(parts, "node"))
-    alone = loops.join(visited, "node", "left_anti").distinct().select("node", F.col("node").alias("seed"))
-    labels = visited.union(alone)
+        visited = visited.union(frontier)
+    alone = edges.select(F.col("a").alias("node")).where("node is not null").distinct().join(visited, "node", "left_anti")
+    labels = visited.union(alone.select("node", F.col("node").alias("seed")))
     small = None if collisions is None else cut(collisions.distinct())
-    if small is None or small.isEmpty():
+    links = 0 if small is None else small.count()
+    if not links:
         return labels.select("node", F.col("seed").alias("component"))
-    upper = frontier_components(small).select(F.col("node").alias("k"), "component")
+    if links <= small_edges:
+        hashed = small.select("a", F.xxhash64("a").alias("ha"), "b", F.xxhash64("b").alias("hb"))
+        upper = cut(hashed.coalesce(1).mapInPandas(_merge_small, "node string, component string"))
+    else:
+        upper = frontier_components(small, small_edges)
+    upper = upper.select(F.col("node").alias("k"), "component")
     return labels.join(upper, F.col("seed") == F.col("k"), "left").select("node", F.coalesce("component", "seed").alias("component"))
 
 

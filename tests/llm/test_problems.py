@@ -185,9 +185,11 @@ CONFIG = "config_id int, method string, train_size double, validation_size doubl
 
 def test_components_by_frontier(spark):
     edges = graph(seed=5)
-    got = related_splits.frontier_components(spark.createDataFrame([*edges, *edges[:20], ("loop", "loop")], "a string, b string"))
+    df = spark.createDataFrame([*edges, *edges[:20], ("loop", "loop")], "a string, b string")
+    got = related_splits.frontier_components(df).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, related_splits.frontier_components(df, small_edges=3).collect()))
     parts, want = {}, {}
-    for r in got.collect():
+    for r in got:
         parts.setdefault(r["component"], set()).add(r["node"])
     for k, v in {**union_find(edges), "loop": "loop"}.items():
         want.setdefault(v, set()).add(k)
