@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.prefix import running_total
+from quillon.session import cut
+
+PIECES = 1024
+
 
 def score_counts(df: DataFrame, by: list[str], positive: Column, score: Column) -> DataFrame:
     """(by, score, pos, neg): rows counted by score, combined map-side; ties become one row.
@@ -14,28 +19,39 @@ def score_counts(df: DataFrame, by: list[str], positive: Column, score: Column)
     """
     rows = df.select(*by, positive.cast("int").alias("__y"), score.cast("double").alias("score"))
     rows = rows.where(F.col("__y").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
-    return rows.groupBy(*by, "score").agg(F.sum("__y").alias("pos"), F.sum(1 - F.col("__y")).alias("neg"))
+    return cut(rows.groupBy(*by, "score").agg(F.sum("__y").alias("pos"), F.sum(1 - F.col("__y")).alias("neg")))
 
 
 def _group(by: list[str]):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
 
+def _pieces(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``piece``: which of PIECES equal stretches of the score range a row is in."""
+    span = counts.agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
+    at = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("score") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PIECES)).otherwise(0)
+    return counts.crossJoin(F.broadcast(span)).withColumn("piece", at).drop("__lo", "__hi")
+
+
 def auroc(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, auroc): chance that a positive outranks a negative, ties half; null if a side is empty."""
-    below = F.coalesce(F.sum("neg").over(_group(by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("__won", F.col("pos") * (below + F.col("neg") / 2))
+    """(by, auroc): chance that a positive outranks a negative, ties half; null if a side is empty.
+
+    The negatives below a score are summed piece by piece of the score range, so no task
+    orders all scores. ``by`` must hold no nulls.
+    """
+    below = running_total(_pieces(counts), by, "piece", ["score"], F.col("neg"), "__below")
+    won = below.withColumn("__won", F.col("pos") * (F.col("__below") + F.col("neg") / 2))
     sides = F.sum("pos") * F.sum("neg")
     return won.groupBy(*by).agg(F.when(sides > 0, F.sum("__won") / sides).alias("auroc"))
 
 
 def average_precision(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, aupr): precision summed over the steps in recall, scores falling."""
-    w = _group(by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("__p", F.sum("pos").over(w)).withColumn("__n", F.sum("neg").over(w))
-    return run.groupBy(*by).agg(
-        F.when(F.sum("pos") > 0, F.sum(F.col("pos") * F.col("__p") / (F.col("__p") + F.col("__n"))) / F.sum("pos")).alias("aupr")
-    )
+    """(by, aupr): precision summed over the steps in recall, scores falling; piece by piece as ``auroc``."""
+    falling = _pieces(counts).withColumn("__neg_piece", -F.col("piece")).withColumn("__neg_score", -F.col("score"))
+    run = running_total(falling, by, "__neg_piece", ["__neg_score"], F.col("pos"), "__p")
+    run = running_total(run, by, "__neg_piece", ["__neg_score"], F.col("neg"), "__n")
+    p, n = F.col("__p") + F.col("pos"), F.col("__n") + F.col("neg")
+    return run.groupBy(*by).agg(F.when(F.sum("pos") > 0, F.sum(F.col("pos") * p / (p + n)) / F.sum("pos")).alias("aupr"))
 
 
 def fpr_at_tpr(df: DataFrame, by: list[str], positive: Column, score: Column, tpr: float = 0.95) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.prefix import running_total
+
+PIECE_DIGITS = 3
+
 
 def order_key(seed: int, key: Column) -> Column:
     """SHA-256 of "seed:key", an order that every engine shares."""
@@ -14,15 +18,19 @@ def order_key(seed: int, key: Column) -> Column:
 def stratified_split(df: DataFrame, key: str, stratum: str, known: Column, seed: int = 13, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """``df`` with ``split``: known rows cut per stratum at the rounded shares of the hash order, others test.
 
-    Counts are rounded half-even. Sizes must sum to at most 1; see ``check_sizes``.
+    Counts are rounded half-even. Sizes must sum to at most 1; see ``check_sizes``. Ranks
+    are taken piece by piece of the hash range, so a stratum with a third of the rows is
+    spread over many tasks. Known rows must have a stratum; a null one raises.
     """
     check_sizes(train, validation, 1 - train - validation)
-    w = Window.partitionBy(stratum)
-    known_rows = df.where(known)
-    ranked = known_rows.withColumn("__r", F.row_number().over(w.orderBy(order_key(seed, F.col(key)), key))).withColumn("__n", F.count("*").over(w))
+    checked = F.when(F.col(stratum).isNull(), F.raise_error(F.lit("a stratified split needs a stratum on every known row"))).otherwise(F.col(stratum))
+    hashed = df.where(known).withColumn(stratum, checked).withColumn("__h", order_key(seed, F.col(key)))
+    ranked = running_total(hashed.withColumn("__p", F.substring("__h", 1, PIECE_DIGITS)), [stratum], "__p", ["__h", key], F.lit(1), "__r")
+    sizes = df.where(known).groupBy(stratum).agg(F.count("*").alias("__n"))
     a, b = F.bround(F.col("__n") * train), F.bround(F.col("__n") * validation)
-    split = F.when(F.col("__r") <= a, "train").when(F.col("__r") <= a + b, "validation").otherwise("test")
-    return ranked.withColumn("split", split).drop("__r", "__n").unionByName(df.where(~known).withColumn("split", F.lit("test")))
+    split = F.when(F.col("__r") < a, "train").when(F.col("__r") < a + b, "validation").otherwise("test")
+    placed = ranked.join(F.broadcast(sizes), stratum).withColumn("split", split)
+    return placed.select(*df.columns, "split").unionByName(df.where(~known).withColumn("split", F.lit("test")))
 
 
 def group_split(df: DataFrame, group: str, seed: int = 13, train: float = 0.7, validation: float = 0.15) -> DataFrame:

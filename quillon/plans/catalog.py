@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import evaluation, manifest, scores, studies
+from quillon.plans import composites, evaluation, manifest, scores, studies
 
-_MODULES: list = [scores, evaluation, manifest, studies]
+_MODULES: list = [scores, evaluation, manifest, studies, composites]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

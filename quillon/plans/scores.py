@@ -96,8 +96,8 @@ means as (select label, list(m order by i) as m from dims group by 1)
 select sample_id, round(1 - max(list_cosine_similarity(e, m)), 8) as score from archive, means where split != 'train' group by 1""")
 def score_ncm_cosine(spark, d):
     a = archive(spark, d).withColumn("u", vec.l2_normalize(F.col("e")))
-    means = centroids.class_means(scorers.train_only(a), "label", "u").withColumn("mean", vec.l2_normalize(F.col("mean")))
-    near = centroids.with_nearest(a.where("split != 'train'"), means, "label", "u", lambda x, m: 1 - vec.dot(x, m))
+    means = centroids.class_means(scorers.train_only(a), "label", "u")
+    near = centroids.with_nearest(a.where("split != 'train'"), means, "label", "e", "cosine")
     return near.select("sample_id", F.round("nearest", 8).alias("score"))
 
 

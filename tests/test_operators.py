@@ -204,3 +204,32 @@ def test_centroids(spark):
     assert (near["nearest_label"], near["nearest"], near["margin"]) == ("b", 0.0, 8.0)
     z = centroids.standardized(df, df.where("label = 'a'"), "e", "z").where("label = 'a'")
     assert sorted(r["z"][0] for r in z.collect()) == [-1.0, 1.0] and {r["z"][1] for r in z.collect()} == {0.0}
+
+
+def test_field_persistence(spark):
+    from quillon.operators.homology import field_bars, field_persistence
+
+    ring = np.zeros((5, 5))
+    ring[1:4, 1:4] = 0.8
+    ring[2, 2] = 0.2
+    assert field_bars(ring) == [(0, 0.0, math.inf), (0, 0.2, 0.8), (1, 0.0, 0.8)]
+    assert field_bars(np.array([[0.3]])) == [(0, 0.3, math.inf)]
+    two = np.array([[0.0, 0.9, 0.1]])
+    assert field_bars(two) == [(0, 0.0, math.inf), (0, 0.1, 0.9)]
+    df = spark.createDataFrame([([[0.0, 0.9, 0.1]],), (None,), ([],)], "f array<array<double>>")
+    assert [len(r[0]) for r in df.select(field_persistence("f")).collect()] == [2, 0, 0]
+
+
+def test_cloud_persistence(spark):
+    from quillon.operators.homology import cloud_bars, cloud_persistence
+
+    t = np.linspace(0, 2 * np.pi, 12, endpoint=False)
+    bars = cloud_bars(np.stack([np.cos(t), np.sin(t)], axis=1))
+    step = 1 - math.cos(2 * np.pi / 12)
+    assert [round(b[2] - step, 9) for b in bars if b[0] == 0 and b[2] < math.inf] == [0.0] * 11
+    long = [b for b in bars if b[0] == 1]
+    assert len(long) == 1 and long[0][1] == pytest.approx(step) and long[0][2] == pytest.approx(1.5)
+    cluster = np.random.default_rng(2).normal(size=(12, 3)) * 0.01 + 1
+    assert max([b[2] - b[1] for b in cloud_bars(cluster) if b[0] == 1], default=0) < 0.05
+    df = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]],), (None,)], "c array<array<double>>")
+    assert [len(r[0]) for r in df.select(cloud_persistence("c")).collect()] == [2, 0]
