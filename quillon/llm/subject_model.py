@@ -247,7 +247,7 @@ def train_subjects(labelled: DataFrame, subjects: list[str], seed: int = SEED, d
             d_table[used] += g
             d_w, d_b, n = d_w + w, d_b + b, n + k
         adam.step([model.table, model.weights, model.bias], [d_table / n, d_w / n, d_b / n], RATE)
-        shared.unpersist()
+        shared.destroy()
     return model
 
 
