@@ -21,7 +21,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if wanted is None:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         wanted = tempfile.mkdtemp(prefix="quillon-checkpoint-")
     sc.setCheckpointDir(wanted)
