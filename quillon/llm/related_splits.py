@@ -112,7 +112,8 @@ def frontier_components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> Dat
 
 
 def group_stratified(signals: DataFrame, configs: DataFrame) -> DataFrame:
-    """The rows of ``signals`` under a configuration with method group_stratified."""
+    """The rows of ``signals`` under a configuration with method group_stratified; rows without
+    a sample_id or config_id are left out."""
     c = configs.where(normalize_label(F.col("method")) == "group_stratified").select("config_id").distinct()
     return signals.join(small_side(c), "config_id", "left_semi").where("sample_id is not null")
 
