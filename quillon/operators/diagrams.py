@@ -106,51 +106,69 @@ def tree_deaths(points: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def bottleneck(a: pd.Series, b: pd.Series) -> pd.Series:
     """Bottleneck distance of two diagrams given as arrays of (birth, death) pairs; 0 if both are empty."""
+    points = lambda v: np.array([tuple(x) for x in (v if v is not None else [])], dtype=float).reshape(-1, 2)
+    return pd.Series([bottleneck_of(points(x), points(y)) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    def one(p, q) -> float:
-        p = [tuple(x) for x in (p if p is not None else [])]
-        q = [tuple(x) for x in (q if q is not None else [])]
-        n, m = len(p), len(q)
-        if n + m == 0:
-            return 0.0
-        half = lambda x: (x[1] - x[0]) / 2
-        cost = np.zeros((n + m, n + m))
-        for i in range(n + m):
-            for j in range(n + m):
-                if i < n and j < m:
-                    cost[i, j] = max(abs(p[i][0] - q[j][0]), abs(p[i][1] - q[j][1]))
-                elif i < n:
-                    cost[i, j] = half(p[i])
-                elif j < m:
-                    cost[i, j] = half(q[j])
-        steps = np.unique(cost)
-        lo, hi = 0, len(steps) - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if _perfect(cost <= steps[mid] + 1e-15) else (mid + 1, hi)
-        return float(steps[lo])
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+def bottleneck_of(p: np.ndarray, q: np.ndarray) -> float:
+    """Least t at which the bars whose half length exceeds t can be matched within t.
+
+    Shorter bars may end at the diagonal. A matching that covers the long bars of both sides
+    exists if each side's long bars can be matched to some bars of the other side
+    (Mendelsohn and Dulmage), so two small one-sided matchings decide a step.
+    """
+    if not len(p) + len(q):
+        return 0.0
+    half_p, half_q = (p[:, 1] - p[:, 0]) / 2, (q[:, 1] - q[:, 0]) / 2
+    cost = np.maximum(np.abs(p[:, None, 0] - q[None, :, 0]), np.abs(p[:, None, 1] - q[None, :, 1]))
+    halves = np.concatenate([half_p, half_q])
+    steps = np.unique(np.concatenate([halves, cost[cost < halves.max()]]))
+    lo, hi = 0, len(steps) - 1
+    while lo < hi:
+        mid = (lo + hi) // 2
+        near = cost <= steps[mid]
+        fits = _perfect(near[half_p > steps[mid]]) and _perfect(near.T[half_q > steps[mid]])
+        lo, hi = (lo, mid) if fits else (mid + 1, hi)
+    return float(steps[lo])
 
 
 def _perfect(allowed: np.ndarray) -> bool:
-    """Whether every row can have its own column: augmenting paths, one row at a time."""
-    taken = np.full(allowed.shape[1], -1)
-    for root in range(len(allowed)):
-        came, seen, queue, end = {}, np.zeros(allowed.shape[1], dtype=bool), [root], -1
-        while queue and end < 0:
-            r = queue.pop()
-            for c in np.flatnonzero(allowed[r] & ~seen):
-                seen[c], came[c] = True, r
-                if taken[c] < 0:
-                    end = c
-                    break
-                queue.append(taken[c])
-        if end < 0:
+    """Whether every row can have its own column: Hopcroft-Karp, layers by breadth, then disjoint paths."""
+    near = [np.flatnonzero(r).tolist() for r in allowed]
+    if len(allowed) > allowed.shape[1] or not all(near):
+        return False
+    mine, owner = [-1] * len(near), [-1] * allowed.shape[1]
+    while True:
+        layer = [0 if c < 0 else -1 for c in mine]
+        free = [r for r, c in enumerate(mine) if c < 0]
+        if not free:
+            return True
+        queue, found = list(free), False
+        for r in queue:
+            for c in near[r]:
+                o = owner[c]
+                if o < 0:
+                    found = True
+                elif layer[o] < 0:
+                    layer[o] = layer[r] + 1
+                    queue.append(o)
+        if not found:
             return False
-        while end >= 0:
-            r = came[end]
-            before = next((c for c in came if taken[c] == r), -1) if r != root else -1
-            taken[end] = r
-            end = before
-    return True
+        rest = [iter(x) for x in near]
+        for root in free:
+            rows, columns = [root], []
+            while rows:
+                r = rows[-1]
+                c = next((c for c in rest[r] if owner[c] < 0 or layer[owner[c]] == layer[r] + 1), None)
+                if c is None:
+                    rows.pop()
+                    if columns:
+                        columns.pop()
+                    continue
+                columns.append(c)
+                if owner[c] >= 0:
+                    rows.append(owner[c])
+                    continue
+                for x, y in zip(rows, columns, strict=True):
+                    mine[x], owner[y] = y, x
+                break

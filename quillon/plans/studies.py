@@ -137,8 +137,8 @@ def class_tree_summary(spark, d):
 
 @query()
 def bottleneck_distances(spark, d):
-    """Bottleneck distance between the diagrams of each user and the next, over bars of at most a day."""
-    b = bars(spark, d).select("user_id", F.transform(F.filter(diagrams.finite_bars(F.col("b")), lambda x: x["death"] - x["birth"] <= 24), lambda x: F.array(x["birth"], x["death"])).alias("p"))
+    """Bottleneck distance between the diagrams of each user and the next, over all finite bars."""
+    b = bars(spark, d).select("user_id", F.transform(diagrams.finite_bars(F.col("b")), lambda x: F.array(x["birth"], x["death"])).alias("p"))
     other = b.select((F.col("user_id") - 1).alias("user_id"), F.col("p").alias("q"))
     return b.join(other, "user_id").select("user_id", F.round(diagrams.bottleneck("p", "q"), 6).alias("distance"))
 

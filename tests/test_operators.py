@@ -233,3 +233,26 @@ def test_cloud_persistence(spark):
     assert max([b[2] - b[1] for b in cloud_bars(cluster) if b[0] == 1], default=0) < 0.05
     df = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]],), (None,)], "c array<array<double>>")
     assert [len(r[0]) for r in df.select(cloud_persistence("c")).collect()] == [2, 0]
+
+
+def test_bottleneck_against_every_matching():
+    from itertools import permutations
+
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        n, m = rng.integers(0, 4, 2)
+        p, q = (np.sort(rng.integers(0, 60, (k, 2)).astype(float), axis=1) for k in (n, m))
+        half = lambda x: (x[1] - x[0]) / 2
+        cost = lambda i, j: np.abs(p[i] - q[j]).max() if i < n and j < m else half(p[i]) if i < n else half(q[j]) if j < m else 0.0  # noqa: E731, B023
+        want = min(max((cost(i, j) for i, j in enumerate(o)), default=0.0) for o in permutations(range(n + m)))
+        assert diagrams.bottleneck_of(p, q) == want
+
+
+def test_bottleneck_distances_keep_long_bars(spark, tmp_path):
+    from quillon.plans.studies import bottleneck_distances
+
+    rows = [(1, 1, "2024-01-01 00:00:00", 0.0), (2, 1, "2024-01-05 04:00:00", 0.0), (3, 2, "2024-01-01 00:00:00", 0.0), (4, 2, "2024-01-01 10:00:00", 0.0)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    # User 1 has one finite bar of 100 h, user 2 one of 10 h: both go to the diagonal, the longer decides.
+    assert [tuple(r) for r in bottleneck_distances(spark, str(tmp_path)).collect()] == [(1, 50.0)]
