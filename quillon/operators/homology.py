@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -79,17 +81,24 @@ def field_bars(field: np.ndarray) -> list[tuple[int, float, float]]:
 def cloud_bars(points: np.ndarray, longest: float = 2.0) -> list[tuple[int, float, float]]:
     """Rips bars of dimensions 0 and 1 under cosine distance, edges up to ``longest``.
 
-    Columns of the boundary matrix over two elements are reduced left to right: edges by
-    length, then triangles by their longest edge. A triangle column that does not vanish
-    ends the loop that its lowest edge began. Cubic in the points, so for clouds of at most
-    some hundred points; samples bound them.
+    Edges are ordered by length, triangles by their three edges from the last one down. Edges
+    that merge components end bars of dimension 0. Of the others, an edge that is the last of
+    some triangle pairs with the first such triangle at no length. The edges left are reduced
+    as columns of the coboundary matrix over two elements, last edge first: a column's first
+    triangle ends the loop that the edge began, an empty column's loop is essential.
     """
     n = len(points)
     if n == 0:
         return []
     x = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
     d = np.clip(1 - x @ x.T, 0, 2)
-    edges = sorted((float(d[i, j]), i, j) for i in range(n) for j in range(i + 1, n) if d[i, j] <= longest)
+    a, b = np.triu_indices(n, 1)
+    a, b = a[d[a, b] <= longest], b[d[a, b] <= longest]
+    order = np.argsort(d[a, b], kind="stable")
+    a, b = a[order], b[order]
+    length, m = d[a, b], len(order)
+    rank = np.full((n, n), m)
+    rank[a, b] = rank[b, a] = np.arange(m)
     root = list(range(n))
 
     def find(v: int) -> int:
@@ -98,43 +107,64 @@ def cloud_bars(points: np.ndarray, longest: float = 2.0) -> list[tuple[int, floa
             v = root[v]
         return v
 
-    place, bars, loops = {}, [], set()
-    for k, (length, i, j) in enumerate(edges):
-        place[i, j] = k
-        a, b = find(i), find(j)
-        if a == b:
-            loops.add(k)
+    bars, loops = [], []
+    for k in range(m):
+        u, v = find(a[k]), find(b[k])
+        if u == v:
+            loops.append(k)
         else:
-            root[a] = b
-            bars.append((0, 0.0, length))
+            root[u] = v
+            bars.append((0, 0.0, float(length[k])))
     bars += [(0, 0.0, float("inf"))] * len({find(v) for v in range(n)})
-    triangles = []
-    for i in range(n):
-        for j in range(i + 1, n):
-            if (i, j) in place:
-                for k in range(j + 1, n):
-                    if (i, k) in place and (j, k) in place:
-                        c = sorted((place[i, j], place[i, k], place[j, k]), reverse=True)
-                        triangles.append(tuple(c))
-    low: dict[int, set[int]] = {}
-    for c in sorted(triangles):
-        if not loops:
-            break
-        column = set(c)
-        while column:
-            m = max(column)
-            if m not in low:
-                low[m] = column
-                loops.discard(m)
-                birth, death = edges[m][0], edges[c[0]][0]
-                if death > birth:
-                    bars.append((1, birth, death))
-                break
-            column = column ^ low[m]
-    bars += [(1, edges[k][0], float("inf")) for k in loops]
+
+    def triangles(k: int) -> list[int]:
+        """Those with edge ``k``, each as one number that sorts by last, middle and first edge."""
+        s, t = rank[a[k]], rank[b[k]]
+        here = (s < m) & (t < m)
+        e = np.sort(np.stack([s[here], t[here], np.full(int(here.sum()), k)]), axis=0)
+        return ((e[2] * m + e[1]) * m + e[0]).tolist()
+
+    def is_last(k: int) -> bool:
+        return bool((np.maximum(rank[a[k]], rank[b[k]]) < k).any())
+
+    reduced: dict[int, list[int]] = {}
+    for k in reversed(loops):
+        if is_last(k):
+            continue
+        column = triangles(k)
+        heapify(column)
+        while (first := _pop_odd(column)) is not None:
+            if first in reduced:
+                other = reduced[first]
+            else:
+                last = first // (m * m)
+                other = triangles(last)
+                if min(other) != first:
+                    left = [first]
+                    while (t := _pop_odd(column)) is not None:
+                        left.append(t)
+                    reduced[first] = left
+                    if length[last] > length[k]:
+                        bars.append((1, float(length[k]), float(length[last])))
+                    break
+            for t in other:
+                if t != first:
+                    heappush(column, t)
+        else:
+            bars.append((1, float(length[k]), float("inf")))
     return sorted(bars)
 
 
+def _pop_odd(heap: list[int]) -> int | None:
+    """Takes the least number that the heap holds an odd number of times; equal pairs vanish."""
+    while heap:
+        t = heappop(heap)
+        if not heap or heap[0] != t:
+            return t
+        heappop(heap)
+    return None
+
+
 @F.pandas_udf(BARS)
 def field_persistence(fields: pd.Series) -> pd.Series:
     """Bars of each 2-D field (array of rows); a null or unusable field has none."""

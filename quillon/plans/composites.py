@@ -11,7 +11,7 @@ from quillon.plans.manifest import EVIDENCE, M, evidence, manifest
 from quillon.plans.registry import collector
 from quillon.plans.sqltext import ARCHIVE
 from quillon.plans.studies import BARS, _G, _boxes, _grid, bars
-from quillon.plans.views import archive
+from quillon.plans.views import archive, class_clouds
 from quillon.session import cut
 
 QUERIES, ORACLES, query = collector()
@@ -124,9 +124,8 @@ def betti_distance(spark, d):
 
 @query()
 def rips_summary(spark, d):
-    """Bars of dimensions 0 and 1 of the first 24 test samples of each class, summarised."""
-    s = splits.per_class_sample(archive(spark, d).where("split = 'test'").select("sample_id", "label", "e"), "sample_id", "label", 24)
-    bars_ = cut(s.groupBy("label").agg(F.collect_list("e").alias("c")).repartition(8).select("label", homology.cloud_persistence("c").alias("b")))
+    """Bars of dimensions 0 and 1 of the sampled test cloud of each class, summarised."""
+    bars_ = cut(class_clouds(spark, d).repartition(8).select("label", homology.cloud_persistence("c").alias("b")))
     out = None
     for k in (0, 1):
         of = F.transform(F.filter("b", lambda x: x["dim"] == k), lambda x: F.struct(x["birth"].alias("birth"), x["death"].alias("death")))

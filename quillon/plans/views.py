@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vec
 from quillon.functions.text import normalize_label, split_name
+from quillon.operators.splits import per_class_sample
 from quillon.sources.tables import table
 
+CLOUD_POINTS = 192
+
 
 def archive(spark: SparkSession, d: str) -> DataFrame:
     """(sample_id, label, status, split, e, z): usable rows of the embedding archive.
@@ -27,3 +30,9 @@ def archive(spark: SparkSession, d: str) -> DataFrame:
         .where(F.col("status").isin("known", "unknown") & F.col("split").isNotNull())
         .distinct()
     )
+
+
+def class_clouds(spark: SparkSession, d: str) -> DataFrame:
+    """(label, n_points, c): vectors of at most 192 test samples of each class, first in the hash order."""
+    s = per_class_sample(archive(spark, d).where("split = 'test'").select("sample_id", "label", "e"), "sample_id", "label", CLOUD_POINTS)
+    return s.groupBy("label").agg(F.count("*").alias("n_points"), F.collect_list("e").alias("c"))

@@ -256,3 +256,57 @@ def test_bottleneck_distances_keep_long_bars(spark, tmp_path):
     e.write.parquet(str(tmp_path / "events.parquet"))
     # User 1 has one finite bar of 100 h, user 2 one of 10 h: both go to the diagonal, the longer decides.
     assert [tuple(r) for r in bottleneck_distances(spark, str(tmp_path)).collect()] == [(1, 50.0)]
+
+
+def test_cloud_bars_against_boundary_reduction():
+    from itertools import combinations
+
+    from quillon.operators.homology import cloud_bars
+
+    def plain(x, longest):
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        d = np.clip(1 - u @ u.T, 0, 2)
+        size = lambda s: max((d[p] for p in combinations(s, 2)), default=0.0)
+        cells = sorted((s for k in (1, 2, 3) for s in combinations(range(len(x)), k) if size(s) <= longest), key=lambda s: (size(s), len(s)))
+        place, low, bars, open_ = {s: i for i, s in enumerate(cells)}, {}, [], set()
+        for i, s in enumerate(cells):
+            column = {place[f] for f in combinations(s, len(s) - 1)} if len(s) > 1 else set()
+            while column and max(column) in low:
+                column ^= low[max(column)]
+            if not column:
+                open_.add(i)
+                continue
+            m = max(column)
+            low[m] = column
+            open_.discard(m)
+            if len(s) == 2 or size(s) > size(cells[m]):
+                bars.append((len(s) - 2, float(size(cells[m])), float(size(s))))
+        return sorted(bars + [(len(cells[i]) - 1, float(size(cells[i])), math.inf) for i in open_ if len(cells[i]) < 3])
+
+    rng = np.random.default_rng(4)
+    for i in range(24):
+        x = rng.normal(size=(int(rng.integers(2, 16)), int(rng.integers(2, 6))))
+        x, longest = np.round(x) if i % 3 == 0 else x, (2.0, 0.9, 0.4)[i % 2 + (i % 5 == 0)]
+        got, want = cloud_bars(x, longest), plain(x, longest)
+        assert len(got) == len(want)
+        assert all(g[0] == w[0] and g[1:] == pytest.approx(w[1:]) for g, w in zip(got, want, strict=True))
+
+
+@pytest.fixture(scope="module")
+def class_archive(spark, tmp_path_factory):
+    """One class of 200 test samples on a noisy circle and one of 30."""
+    rng, folder = np.random.default_rng(6), tmp_path_factory.mktemp("archive")
+    t = rng.uniform(0, 2 * np.pi, 230)
+    x = np.zeros((230, 96))
+    x[:, 0], x[:, 1], x[:, 70] = np.cos(t), np.sin(t), rng.normal(size=230) * 0.1
+    rows = [(f"s{i}", "many" if i < 200 else "few", "known", "test", [float(v) for v in x[i]], [0.0] * 5) for i in range(230)]
+    spark.createDataFrame(rows, "sample_id string, true_label string, known_status string, split string, embedding array<double>, logits array<double>").write.parquet(str(folder / "embedding_archive.parquet"))
+    return str(folder)
+
+
+def test_rips_summary_takes_192_points(spark, class_archive):
+    from quillon.plans.composites import rips_summary
+
+    got = {(r["label"], r["dim"]): r for r in rips_summary(spark, class_archive).collect()}
+    assert {k: (r["n_bars"], r["n_essential"]) for k, r in got.items() if k[1] == 0} == {("many", 0): (191, 1), ("few", 0): (29, 1)}
+    assert got["many", 1]["longest"] > 1 and got["many", 1]["n_essential"] == 0
