@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators import boxes, diagrams, resample, runs
 from quillon.plans.evaluation import scored
 from quillon.plans.registry import collector
-from quillon.plans.views import archive
+from quillon.plans.views import class_clouds
 from quillon.sources.tables import table
 
 QUERIES, ORACLES, query = collector()
@@ -125,12 +125,8 @@ def bar_histograms(spark, d):
 
 @query()
 def class_tree_summary(spark, d):
-    """Zero-dimensional bars of the first 48 test samples of each class, in the hash order."""
-    from quillon.operators.splits import per_class_sample
-
-    s = per_class_sample(archive(spark, d).where("split = 'test'").select("sample_id", "label", "e"), "sample_id", "label", 48)
-    clouds = s.groupBy("label").agg(F.count("*").alias("n_points"), F.collect_list("e").alias("c"))
-    deaths = clouds.select("label", "n_points", diagrams.tree_deaths("c").alias("v"))
+    """Zero-dimensional bars of the sampled test cloud of each class, the sample of ``rips_summary``."""
+    deaths = class_clouds(spark, d).select("label", "n_points", diagrams.tree_deaths("c").alias("v"))
     zero = F.transform("v", lambda x: F.struct(F.lit(0.0).alias("birth"), x.alias("death")))
     return deaths.select("label", "n_points", diagrams.summary(zero).alias("s")).select("label", "n_points", F.col("s.n").alias("n_bars"), F.round("s.total", 6).alias("total"), F.round("s.longest", 6).alias("longest"), F.round("s.entropy", 6).alias("entropy"))
 

@@ -310,3 +310,13 @@ def test_rips_summary_takes_192_points(spark, class_archive):
     got = {(r["label"], r["dim"]): r for r in rips_summary(spark, class_archive).collect()}
     assert {k: (r["n_bars"], r["n_essential"]) for k, r in got.items() if k[1] == 0} == {("many", 0): (191, 1), ("few", 0): (29, 1)}
     assert got["many", 1]["longest"] > 1 and got["many", 1]["n_essential"] == 0
+
+
+def test_class_tree_summary_shares_the_sample(spark, class_archive):
+    from quillon.plans.composites import rips_summary
+    from quillon.plans.studies import class_tree_summary
+
+    got = {r["label"]: r for r in class_tree_summary(spark, class_archive).collect()}
+    assert {k: (r["n_points"], r["n_bars"]) for k, r in got.items()} == {"many": (192, 191), "few": (30, 29)}
+    for r in rips_summary(spark, class_archive).where("dim = 0").collect():
+        assert (r["total"], r["longest"]) == pytest.approx((got[r["label"]]["total"], got[r["label"]]["longest"]), abs=2e-6)
