@@ -46,11 +46,11 @@ def mixture_goals(targets: DataFrame) -> DataFrame:
 
 
 def shuffled_blocks(tokens: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """(source, block, doc_id, from_token, to_token): sources as streams cut into equal blocks.
+    """(source, block, at, doc_id, from_token, to_token): sources as streams cut into equal blocks.
 
     Documents are ordered by a hash of doc_id and seed; a text that crosses a border is cut
-    there, so every block but a source's last has exactly ``block_tokens`` tokens. The
-    running position is taken piece by piece of the hash range, so a source of any size is
+    there, so every block but a source's last has exactly ``block_tokens`` tokens; ``at``
+    is the place of a piece's first token in the stream. The running position is taken piece by piece of the hash range, so a source of any size is
     spread over many tasks.
     """
     h = F.xxhash64("doc_id", F.lit(seed))
@@ -62,18 +62,19 @@ def shuffled_blocks(tokens: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: i
     span = F.sequence(F.floor(F.col("start") / block_tokens), F.floor((end - 1) / block_tokens))
     low, high = F.greatest("start", F.col("block") * block_tokens), F.least(end, (F.col("block") + 1) * block_tokens)
     return placed.withColumn("block", F.explode(span)).select(
-        "source", "block", "doc_id", (low - F.col("start")).alias("from_token"), (high - F.col("start")).alias("to_token")
+        "source", "block", low.alias("at"), "doc_id", (low - F.col("start")).alias("from_token"), (high - F.col("start")).alias("to_token")
     )
 
 
 def slot_schedule(goals: DataFrame, totals: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(mix_id, slot, source, rank, repeat, block, n_tokens): which block each slot takes.
+    """(mix_id, slot, source, rank, source_tokens, start, n_tokens): what each slot takes.
 
     A mix has as many slots as blocks fit its budget. Slot i falls at the golden-ratio
     point of i; the cumulative weights of the mix map the point to a source, so that every
     stretch of slots holds each source's share but for a few slots. The slots of a source
-    are ranked in order, slot rank r taking block r modulo the source's blocks; past
-    max_repeats rounds a slot stays empty, with null repeat and block and no tokens.
+    are ranked in order and take one block after another of the source repeated without a
+    gap max_repeats times, slot rank r from token r * block_tokens on; the last of them may
+    be partial, and slots after it stay empty.
     """
     order = Window.partitionBy("mix_id").orderBy("source")
     total = F.sum("weight").over(Window.partitionBy("mix_id"))
@@ -91,15 +92,31 @@ def slot_schedule(goals: DataFrame, totals: DataFrame, block_tokens: int = BLOCK
     point = F.pmod((F.col("slot") + 1) * F.lit(_GOLDEN), F.lit(_TURN)) / F.lit(float(_TURN))
     drawn = each.withColumn("u", point).join(small_side(arcs), "mix_id").where("lo <= u and u < hi")
     ranked = running_total(drawn, ["mix_id", "source"], "piece", ["slot"], F.lit(1), "rank")
-    blocks = F.ceil(F.col("source_tokens") / block_tokens)
-    repeat = F.floor(F.col("rank") / F.greatest(blocks, F.lit(1)))
-    full = (blocks > 0) & (repeat < F.col("max_repeats"))
-    block = F.when(full, F.pmod("rank", F.greatest(blocks, F.lit(1))))
-    size = F.least(F.lit(block_tokens).cast("bigint"), F.col("source_tokens") - F.col("block") * block_tokens)
-    return (
-        ranked.withColumn("block", block)
-        .select("mix_id", "slot", "source", "rank", F.when(full, repeat).alias("repeat"), "block", F.when(full, size).otherwise(0).alias("n_tokens"))
+    start = F.col("rank").cast("bigint") * block_tokens
+    left = F.col("source_tokens") * F.col("max_repeats") - start
+    size = F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(block_tokens).cast("bigint"), left))
+    return ranked.select("mix_id", "slot", "source", "rank", "source_tokens", start.alias("start"), size.alias("n_tokens"))
+
+
+def slot_pieces(schedule: DataFrame, blocks: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(mix_id, slot, source, repeat, doc_id, from_token, to_token): the documents of each slot.
+
+    A slot is cut where a round of its source ends, each part meets the blocks it touches,
+    and pieces of one document in a part, cut at a block border, become one again.
+    """
+    whole, end = F.col("source_tokens"), F.col("start") + F.col("n_tokens")
+    parts = (
+        schedule.where("n_tokens > 0")
+        .withColumn("repeat", F.explode(F.sequence(F.floor(F.col("start") / whole), F.floor((end - 1) / whole))))
+        .withColumn("lo", F.greatest(F.col("start") - F.col("repeat") * whole, F.lit(0)))
+        .withColumn("hi", F.least(end - F.col("repeat") * whole, whole))
+        .withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block_tokens), F.floor((F.col("hi") - 1) / block_tokens))))
     )
+    before = F.greatest(F.col("lo") - F.col("at"), F.lit(0))
+    after = F.greatest(F.col("at") + F.col("to_token") - F.col("from_token") - F.col("hi"), F.lit(0))
+    met = parts.select("mix_id", "slot", "source", "repeat", "lo", "hi", "block").join(blocks, ["source", "block"])
+    met = met.select("mix_id", "slot", "source", "repeat", "doc_id", (F.col("from_token") + before).alias("f"), (F.col("to_token") - after).alias("t")).where("f < t")
+    return met.groupBy("mix_id", "slot", "source", "repeat", "doc_id").agg(F.min("f").alias("from_token"), F.max("t").alias("to_token"))
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, rank_file: str = RANK_FILE, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
@@ -115,10 +132,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, rank_file: str = RANK_
     totals = cut(tokens.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens")))
     goals = cut(mixture_goals(targets))
     schedule = cut(slot_schedule(goals, totals, block_tokens))
-    filled = schedule.where("block is not null").select("mix_id", "slot", "source", "repeat", "block")
-    mixture = filled.join(shuffled_blocks(tokens, block_tokens), ["source", "block"]).select(
-        "mix_id", "slot", "source", "repeat", "doc_id", "from_token", "to_token"
-    )
+    mixture = slot_pieces(schedule, shuffled_blocks(tokens, block_tokens), block_tokens)
     used = schedule.groupBy("mix_id", "source").agg(F.count("*").alias("n_slots"), F.sum("n_tokens").alias("mixed_tokens"))
     whole = F.sum("mixed_tokens").over(Window.partitionBy("mix_id"))
     want = F.col("weight") * F.col("budget")

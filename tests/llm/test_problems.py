@@ -321,6 +321,26 @@ def test_mixture(spark):
     assert source_mixture.mix_sources(args[0], args[1].limit(0))[1].count() == 0
 
 
+def test_a_repeated_source_fills_every_slot(spark):
+    docs = spark.createDataFrame([(1, "a", "word " * 9, "", ""), (2, "a", "word " * 11, "", ""), (3, "b", "word " * 3, "", "")], DOC)
+    lengths = {r["doc_id"]: r["n_tokens"] for r in source_mixture.document_tokens(docs).collect()}
+    budget = 16 * 7
+    mixes = spark.createDataFrame([(1, "a", 1.0, 10, budget, ""), (2, "b", 1.0, 40, budget, ""), (3, "a", 1.0, 2, budget, "")], MIX)
+    mixture, report = source_mixture.mix_sources(docs, mixes, block_tokens=16)
+    r = {x["mix_id"]: x for x in report.collect()}
+    assert [r[m]["short"] for m in (1, 2, 3)] == [False, False, True]
+    assert [r[m]["mixed_tokens"] for m in (1, 2, 3)] == [budget, budget, 2 * (lengths[1] + lengths[2])]
+    rows, seen = mixture.collect(), {}
+    assert len({tuple(x)[:5] for x in rows}) == len(rows)
+    for x in rows:
+        seen.setdefault((x["mix_id"], x["repeat"], x["doc_id"]), []).extend(range(x["from_token"], x["to_token"]))
+    assert all(len(set(t)) == len(t) and max(t) < lengths[k[2]] for k, t in seen.items())
+    for m, docs_of in ((1, (1, 2)), (2, (3,)), (3, (1, 2))):
+        rounds = r[m]["mixed_tokens"] // sum(lengths[i] for i in docs_of)
+        assert all(len(seen[m, k, i]) == lengths[i] for k in range(rounds) for i in docs_of)
+        assert sum(len(t) for k, t in seen.items() if k[0] == m) == r[m]["mixed_tokens"]
+
+
 WORDS = {"law": ["court", "clause", "licence", "appeal"], "sport": ["match", "goal", "team", "race"], "software": ["build", "parser", "commit", "server"]}
 
 
