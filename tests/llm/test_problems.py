@@ -270,6 +270,28 @@ def test_probe_order():
     assert vector_neighbors.plan_search(10**9, 0.9).depth > vector_neighbors.plan_search(10**6, 0.9).depth
 
 
+@pytest.mark.parametrize("n", [8_000, 80_000, 800_000])
+def test_planned_tables_reach_the_recall_at_the_radius(n):
+    plan = vector_neighbors.plan_search(n, 0.9)
+    rng = np.random.default_rng(9)
+    x = rng.random((4000, plan.depth)) * plan.width
+    y = x + rng.normal(0, math.sqrt(0.2), x.shape)
+    sets = vector_neighbors.perturbations(plan.depth, plan.probes)
+
+    def probed(v):
+        h = np.floor(v / plan.width).astype(int)
+        walls = sorted((w, j, step) for j in range(plan.depth) for w, step in ((v[j] / plan.width - h[j], -1), (h[j] + 1 - v[j] / plan.width, 1)))
+        for s in sets:
+            key = h.copy()
+            for k in s:
+                key[walls[k][1]] += walls[k][2]
+            yield tuple(key)
+
+    home = lambda v: tuple(np.floor(v / plan.width).astype(int))
+    p = np.mean([home(b) in set(probed(a)) or home(a) in set(probed(b)) for a, b in zip(x, y, strict=True)])
+    assert 1 - (1 - p) ** plan.tables >= 0.999
+
+
 ODD = ["", "a", " ", "don't stop  now\n\n x", "<|endoftext|> hi", "naïve Füße año", "​\x1c\x85 \t", "中文字符 😀👨‍🔬", "x" * 20_000, " " * 5000, "ab" * 4000, "1234567 890", "��"]
 
 
