@@ -136,8 +136,8 @@ def rips_summary(spark, d):
 
 @query()
 def field_persistence_summary(spark, d):
-    """Sublevel bars of 8 x 8 fields made of the first 64 coordinates of every sample, summarised."""
-    rows = F.array(*[F.slice("e", 8 * i + 1, 8) for i in range(8)])
+    """Sublevel bars of 8 x 12 fields made of the 96 coordinates of every sample, summarised."""
+    rows = F.array(*[F.slice("e", 12 * i + 1, 12) for i in range(8)])
     b = archive(spark, d).select("sample_id", rows.alias("f")).select("sample_id", homology.field_persistence("f").alias("b"))
     n = lambda k: F.size(F.filter("b", lambda x: x["dim"] == k))
     return cut(b).select("sample_id", n(0).alias("n_components"), n(1).alias("n_holes"))

@@ -320,3 +320,13 @@ def test_class_tree_summary_shares_the_sample(spark, class_archive):
     assert {k: (r["n_points"], r["n_bars"]) for k, r in got.items()} == {"many": (192, 191), "few": (30, 29)}
     for r in rips_summary(spark, class_archive).where("dim = 0").collect():
         assert (r["total"], r["longest"]) == pytest.approx((got[r["label"]]["total"], got[r["label"]]["longest"]), abs=2e-6)
+
+
+def test_field_persistence_summary_reads_every_coordinate(spark, tmp_path):
+    from quillon.plans.composites import field_persistence_summary
+
+    e = [1.0] * 96
+    e[0], e[90] = 0.0, 0.5
+    rows = [("s", "a", "known", "test", e, [0.0] * 5)]
+    spark.createDataFrame(rows, "sample_id string, true_label string, known_status string, split string, embedding array<double>, logits array<double>").write.parquet(str(tmp_path / "embedding_archive.parquet"))
+    assert [tuple(r) for r in field_persistence_summary(spark, str(tmp_path)).collect()] == [("s", 2, 0)]
