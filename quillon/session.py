@@ -34,16 +34,39 @@ def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
     A checkpoint hands the size estimate of its plan on to its readers. A join's estimate
     is the product of its sides, so over the rounds of an iteration the number itself grows
     until planning takes longer than running. The rows are therefore given a new, plain
-    plan. ``keep_layout`` keeps the checkpoint's own plan, which knows how the rows are
-    partitioned, for frames that many rounds join but none derives from another.
+    plan. ``keep_layout`` keeps how the rows are partitioned as well, so that later joins
+    and aggregates on the same keys read them where they lie. An adaptive plan does not tell
+    its partitioning, so such a frame is planned without; give it an explicit ``repartition``.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        if keep_layout:
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+        done = df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    jvm, plan = spark._jsparkSession, done._jdf.logicalPlan()
     if keep_layout:
-        return done
-    jvm = df.sparkSession._jsparkSession
-    rows = done._jdf.queryExecution().toRdd()
-    return DataFrame(jvm.internalCreateDataFrame(rows, done._jdf.schema(), False), df.sparkSession)
+        none = spark._jvm.scala.Option.empty()
+        plain = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, plan.stream(), jvm, none, none)
+        out = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(jvm, plain), spark)
+    else:
+        out = DataFrame(jvm.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+    written = plan.rdd().getCheckpointFile()
+    out._checkpoint_path = written.get() if written.isDefined() else None
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the checkpoint files of frames made by ``cut`` that nothing will read again."""
+    for df in frames:
+        path = getattr(df, "_checkpoint_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
