@@ -83,17 +83,7 @@ result as (
   select first.*, abs(first.x) as cutoff, cast(n_kept as bigint) as n_kept, n_ties, cast(n_records as bigint) as n_records
   from first join running using (dataset, strategy, x))"""
 
-ORACLES: dict[str, str] = {
-    "p1_found": _GROUPS + " select image_id, group_id from g",
-    "p1_image_groups": _GROUPS + f"""
-select i.id as image_id, coalesce(g.group_id, i.id) as group_id
-from (select distinct {_t('image_id')} as id from raabin_image where {_t('image_id')} != '') i left join g on g.image_id = i.id""",
-    "p2_found": _PAIRS + " select least(train_id, eval_id) as image_id_a, greatest(train_id, eval_id) as image_id_b from found",
-    "p3_found": _CUTS + " select point_id, dataset, cast(round(cutoff * 1000000) as bigint) as cutoff_ppm, n_kept from result",
-    "p3_cutoffs": _CUTS + " select point_id, strategy, target, dataset, n_kept, n_ties, n_records, cutoff, n_kept / n_records as kept_share from result",
-    "p4_found": f"""with {_TARGETS}
-select plan_id, label as canonical_label from target left join have using (label, status) where coalesce(available, 0) < needed""",
-    "p5_found": f"""
+_RELATED = f"""
 with recursive raw as (
   select sample_id, {_t('group_id')} as g, {_t('donor_id')} as d, {_split('split')} as split
   from triage_signal where sample_id is not null and config_id in (select config_id from split_config where {_n('method')} = 'group_stratified')),
@@ -107,9 +97,46 @@ label(node, low) using key (node) as (
   union
   select e.a, min(l.low) from e join label l on l.node = e.b join recurring.label own on own.node = e.a
   group by e.a, own.low having min(l.low) < own.low),
-part as (select substr(node, 2) as sample_id, low from label where node like 's%'),
+part as (select substr(node, 2) as sample_id, low from label where node like 's%')"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": _GROUPS + " select image_id, group_id from g",
+    "p1_image_groups": _GROUPS + f"""
+select i.id as image_id, coalesce(g.group_id, i.id) as group_id
+from (select distinct {_t('image_id')} as id from raabin_image where {_t('image_id')} != '') i left join g on g.image_id = i.id""",
+    "p2_found": _PAIRS + " select least(train_id, eval_id) as image_id_a, greatest(train_id, eval_id) as image_id_b from found",
+    "p3_found": _CUTS + " select point_id, dataset, cast(round(cutoff * 1000000) as bigint) as cutoff_ppm, n_kept from result",
+    "p3_cutoffs": _CUTS + " select point_id, strategy, target, dataset, n_kept, n_ties, n_records, cutoff, n_kept / n_records as kept_share from result",
+    "p4_found": f"""with {_TARGETS}
+select plan_id, label as canonical_label from target left join have using (label, status) where coalesce(available, 0) < needed""",
+    "p5_found": _RELATED + """,
 bad as (select low from part join raw using (sample_id) group by low having count(distinct split) > 1)
 select sample_id from part join bad using (low)""",
+    "p5_splits": _RELATED + f""",
+size as (
+  select config_id, train_size, validation_size, coalesce(seed, 13) as seed from split_config
+  where {_n('method')} = 'group_stratified' and abs(train_size + validation_size + test_size - 1) <= 1e-6),
+name as (select low, min(sample_id) as component from part group by low),
+kind as (
+  select config_id, sample_id, max(coalesce({_n('known_or_unknown')} != 'known', false)) as unknown from triage_signal
+  where sample_id is not null and config_id in (select config_id from size) group by 1, 2),
+place as (select config_id, sample_id, component, unknown from kind join part using (sample_id) join name using (low)),
+sets as (
+  select config_id, component, count(*) filter (where not unknown) as known, max(unknown) as mixed from place group by 1, 2),
+total as (
+  select config_id, sum(known) as all_known, coalesce(sum(known) filter (where not mixed), 0) as free from sets group by 1),
+pure as (
+  select sets.*, sum(known) over (partition by config_id order by md5(component || '|' || seed), component) - known as before
+  from sets join size using (config_id) where not mixed),
+scaled as (
+  select *, least(1.0::double, free / greatest((train_size + validation_size) * all_known, 1e-300)) as f
+  from pure join total using (config_id) join size using (config_id)),
+decided as (
+  select config_id, component, case when before + known / 2 < train_size * all_known * f then 'train'
+    when before + known / 2 < (train_size + validation_size) * all_known * f then 'validation' else 'test' end as split from scaled
+  union all select config_id, component, 'test' from sets where mixed)
+select config_id, sample_id, component, case when unknown then 'unknown' else 'known' end as status, split
+from place join decided using (config_id, component)""",
     "p6_found": """
 with v as (
   select sample_id, min(cast(embedding as double[])) as e from embedding_archive

@@ -187,7 +187,9 @@ def test_components_by_frontier(spark):
     edges = graph(seed=5)
     df = spark.createDataFrame([*edges, *edges[:20], ("loop", "loop")], "a string, b string")
     got = related_splits.frontier_components(df).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, related_splits.frontier_components(df, small_edges=3).collect()))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, related_splits.frontier_components(df.repartition(7)).collect()))
+    split = related_splits.frontier_components(related_splits.split_hubs(df, 8)).where("node not like 'p%:%'").collect()
+    assert len({r["component"] for r in split}) == len({r["component"] for r in got}) and len(split) == len(got)
     parts, want = {}, {}
     for r in got:
         parts.setdefault(r["component"], set()).add(r["node"])
@@ -227,11 +229,20 @@ def test_broken_relations_match_brute_force(spark, hub_degree):
     assert {r["config_id"] for r in placed} == {1, 2}
     homes = {}
     for r in placed:
-        if r["status"] == "known":
-            homes.setdefault((r["config_id"], part["r" + r["sample_id"]]), set()).add(r["split"])
-        else:
-            assert r["split"] == "test"
+        homes.setdefault((r["config_id"], part["r" + r["sample_id"]]), set()).add(r["split"])
+        assert r["status"] == "known" or r["split"] == "test"
     assert all(len(v) == 1 for v in homes.values())
+    for c, size in ((1, 0.7), (2, 0.6)):
+        known = [r for r in placed if r["config_id"] == c and r["status"] == "known"]
+        mixed = {part["r" + r["sample_id"]] for r in placed if r["config_id"] == c and r["status"] != "known"}
+        sets = {}
+        for r in known:
+            k = part["r" + r["sample_id"]]
+            if k not in mixed:
+                sets[k] = sets.get(k, 0) + 1
+        free = sum(sets.values())
+        want = min(size * len(known), free * size / (size + (1 - size) / 2))
+        assert abs(sum(r["split"] == "train" for r in known) - want) <= max(sets.values())
     none = df.limit(0)
     assert related_splits.broken_relations(none, configs).count() == 0 and related_splits.assigned_splits(none, configs).count() == 0
 
