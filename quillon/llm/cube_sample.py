@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import normalize_label
@@ -108,6 +108,44 @@ def landing(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarr
     return np.round(pi)
 
 
+def category_flight(pi: np.ndarray, category: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The flight phase on the indicators of ``category``, given as numbers.
+
+    Two open records of one category have the null vector (1, -1) between them. In each
+    round the open records of every category are paired in order and all pairs move at
+    once, each to a face of its square, so at least one of the two is resolved; when no
+    category has two open records, nothing can move without changing a balance. The
+    indicators themselves are never built.
+    """
+    pi = np.where(pi <= _EPS, 0.0, np.where(pi >= 1 - _EPS, 1.0, pi.astype(float)))
+    order = np.argsort(category, kind="stable")
+    while True:
+        open_ = order[(pi[order] > 0) & (pi[order] < 1)]
+        c = category[open_]
+        new = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, dtype=bool)
+        place = np.arange(len(c)) - np.maximum.accumulate(np.where(new, np.arange(len(c)), 0)) if len(c) else np.zeros(0, dtype=int)
+        at = np.flatnonzero((place[1:] % 2 == 1) & ~new[1:]) if len(c) else []
+        if not len(at):
+            return pi
+        i, j = open_[at], open_[at + 1]
+        a, b = pi[i], pi[j]
+        total = a + b
+        low = total <= 1
+        first = rng.random(len(at)) * np.where(low, total, 2 - total) < np.where(low, a, 1 - b)
+        more, less = np.where(low, total, 1.0), np.where(low, 0.0, total - 1)
+        for k, v in ((i, np.where(first, more, less)), (j, np.where(first, less, more))):
+            pi[k] = np.where(v <= _EPS, 0.0, np.where(v >= 1 - _EPS, 1.0, v))
+
+
+def category_landing(pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Resolve what a category flight left: the indicators are dropped, the constant is kept.
+
+    So the size of the sample stays as planned up to the last open record, which is drawn.
+    """
+    pi = category_flight(pi, np.zeros(len(pi), dtype=int), rng)
+    return np.where((pi > 0) & (pi < 1), (rng.random(len(pi)) < pi).astype(float), pi)
+
+
 def _rng(seed: int, plan: int, level: int, block: int) -> np.random.Generator:
     return np.random.default_rng([seed & 0xFFFFFFFF, plan & 0xFFFFFFFF, level, block & 0xFFFFFFFFFFFF])
 
@@ -118,15 +156,42 @@ def _fly(seed: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataF
         plan, number = int(pdf["plan_id"].iloc[0]), int(pdf["block"].iloc[0])
         rng = _rng(seed, plan, level, number)
         pdf = pdf.iloc[rng.permutation(len(pdf))].reset_index(drop=True)
-        found, inverse = np.unique(pdf["category"].to_numpy(), return_inverse=True)
-        x = np.eye(len(found))[inverse]
-        pi = flight(pdf["pi"].to_numpy(), x, rng)
-        pdf["pi"] = landing(pi, x, rng) if last else pi
+        pi = category_flight(pdf["pi"].to_numpy(), pdf["category"].to_numpy(), rng)
+        pdf["pi"] = category_landing(pi, rng) if last else pi
         return pdf[pdf["pi"] > 0]
 
     return block
 
 
+def sample_quotas(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``quota``: how many records of each category a plan draws.
+
+    A category gives ``needed`` records, or all it has (``n``) where those are fewer. What
+    a plan then lacks because of such shortages, up to its sample_size, is handed on to the
+    categories with records to spare, in proportion to their fractions and never beyond
+    what they have. The parts are made whole numbers by rounding their running sum, so the
+    plan's total is kept. Only targets are ordered here, never records.
+    """
+    plan = Window.partitionBy("plan_id")
+    names = Window.partitionBy("plan_id").orderBy("label", "status")
+    base = F.least("n", "needed")
+    short = F.sum(F.col("needed") - F.col("base")).over(plan)
+    q = sized.withColumn("base", base).withColumn("spare", F.when(F.col("fraction") > 0, F.col("n") - F.col("base")).otherwise(0))
+    q = q.withColumn("open", F.greatest(F.lit(0).cast("bigint"), F.least(short, F.max("sample_size").over(plan) - F.sum("base").over(plan))))
+    order = plan.orderBy(F.col("spare") / F.col("fraction"), "label", "status")
+    giving = q.where("spare > 0")
+    level = (F.col("open") - F.coalesce(F.sum("spare").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("fraction").over(order.rowsBetween(0, Window.unboundedFollowing))
+    giving = giving.withColumn("level", level).withColumn("full", F.col("spare") < F.col("fraction") * F.col("level"))
+    met = F.max(F.when(~F.col("full"), F.col("level"))).over(plan)
+    giving = giving.withColumn("met", met)
+    more = F.when(F.col("full") | F.col("met").isNull(), F.col("spare").cast("double")).otherwise(F.col("fraction") * F.col("met"))
+    giving = giving.withColumn("more", more).withColumn("upto", F.sum("more").over(names.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = F.floor(F.col("upto") + 1e-6) - F.floor(F.coalesce(F.lag("upto").over(names), F.lit(0.0)) + 1e-6)
+    added = giving.select("plan_id", "category", whole.alias("added"))
+    out = q.join(added, ["plan_id", "category"], "left")
+    return out.withColumn("quota", F.col("base") + F.coalesce("added", F.lit(0))).drop("base", "spare", "open", "added")
+
+
 def resolved_targets(targets: DataFrame, aliases: DataFrame) -> DataFrame:
     """Targets with labels after N and alias, statuses after N, a category number and needs.
 
@@ -140,7 +205,10 @@ def resolved_targets(targets: DataFrame, aliases: DataFrame) -> DataFrame:
     least = F.coalesce(F.col("min_rows"), F.lit(0))
     return (
         named.groupBy("plan_id", "label", "status")
-        .agg(F.max(F.greatest(least, F.ceil(share - F.lit(_EPS)))).alias("needed"), F.max(F.greatest(least.cast("double"), share)).alias("desired"))
+        .agg(
+            F.max(F.greatest(least, F.ceil(share - F.lit(_EPS)))).alias("needed"), F.max(F.greatest(least.cast("double"), share)).alias("desired"),
+            F.max(F.coalesce(F.col("target_fraction"), F.lit(0.0))).alias("fraction"), F.max(F.coalesce(F.col("sample_size"), F.lit(0))).alias("sample_size"),
+        )
         .withColumn("category", F.xxhash64("label", "status"))
     )
 
@@ -167,16 +235,19 @@ def balanced_sample(
     """(sample, report) for every plan of ``targets``.
 
     ``sample`` is (plan_id, label, status, sample_id); ``report`` has one row a target with
-    available, needed, desired, selected, residual (selected less desired) and short
-    (available under needed). A sample_id with contradictory rows is available to each of
-    its categories but is drawn at most once a plan, in the scarcest of them.
+    available, needed, desired, selected, residual (selected less desired) and short: the
+    draw fell under needed and, checked exactly, available is under needed. A sample_id
+    with contradictory rows is available to each of its categories but is drawn at most
+    once a plan: for a category that could miss its needs by losing such records, else for
+    the one with the least to spare.
 
-    Inclusion probabilities are desired over available, at most 1. Units are hashed into
-    blocks of about ``block_rows``, whatever their category, so no category forms a task
-    of its own; a flight balanced on the category indicators runs in each block and leaves
-    at most one unresolved unit a category. Those merge upward, FAN_IN blocks into one,
-    until a plan has one block, where the landing resolves the rest. Nothing but resolved
-    units leaves a block, and the same seed gives the same sample.
+    Inclusion probabilities are a category's quota (``sample_quotas``) over its records.
+    Units are hashed into blocks of about ``block_rows``, whatever their category, so no
+    category forms a task of its own; a flight balanced on the category indicators runs in
+    each block and leaves at most one unresolved unit a category. Those merge upward,
+    FAN_IN blocks into one, until a plan has one block, where the landing resolves the
+    rest. Nothing but resolved units leaves a block, and the same seed gives the same
+    sample.
 
     Labels after N and alias and statuses after N are compared; rows with null or blank
     sample_id or without a wanted label are left out. Targets nobody has appear in the
@@ -189,25 +260,29 @@ def balanced_sample(
         .select("sample_id", "label", "status")
         .distinct()
     )
-    units = cut(have.join(small_side(wanted), ["label", "status"]).select("plan_id", "category", "label", "status", "sample_id", "desired"))
+    units = cut(have.join(small_side(wanted.select("plan_id", "category", "label", "status")), ["label", "status"]))
     available = units.groupBy("plan_id", "label", "status").agg(F.count("*").alias("available"))
-    sized = cut(wanted.join(available, ["plan_id", "label", "status"], "left").fillna(0, ["available"]))
-    scarcest = (
-        units.join(small_side(sized.select("plan_id", "category", "available")), ["plan_id", "category"])
-        .groupBy("plan_id", "sample_id")
-        .agg(F.min(F.struct("available", "category", "desired")).alias("s"))
-        .select("plan_id", "sample_id", "s.category", "s.desired")
+    counted = cut(wanted.join(available, ["plan_id", "label", "status"], "left").fillna(0, ["available"]))
+    grouped = cut(units.groupBy("plan_id", "sample_id").agg(F.collect_list("category").alias("of")))
+    several = grouped.where(F.size("of") > 1).select("plan_id", "sample_id", F.explode("of").alias("category"))
+    shared = several.groupBy("plan_id", "category").agg(F.count("*").alias("shared"))
+    slack = F.col("available") - F.col("needed")
+    at_risk = (slack >= 0) & (slack < F.coalesce("shared", F.lit(0)))
+    wants = counted.join(shared, ["plan_id", "category"], "left").select(
+        "plan_id", "category", F.struct(F.when(at_risk, 0).otherwise(1).alias("last"), slack.alias("slack"), "label", "status", "category").alias("want")
     )
-    scarcest = cut(scarcest)
-    left = scarcest.groupBy("plan_id", "category").agg(F.count("*").alias("n"))
-    sizes = scarcest.groupBy("plan_id").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    picked = several.join(small_side(wants), ["plan_id", "category"]).groupBy("plan_id", "sample_id").agg(F.min("want").alias("w"))
+    alone = grouped.where(F.size("of") == 1).select("plan_id", "sample_id", F.get("of", 0).alias("category"))
+    drawable = cut(alone.union(picked.select("plan_id", "sample_id", "w.category")))
+    left = drawable.groupBy("plan_id", "category").agg(F.count("*").alias("n"))
+    sized = cut(sample_quotas(counted.join(left, ["plan_id", "category"], "left").fillna(0, ["n"])))
+    sizes = drawable.groupBy("plan_id").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
     most = sizes.agg(F.max("blocks")).first()[0] or 1
     block = F.pmod(F.xxhash64("sample_id", "plan_id", F.lit(seed)), F.col("blocks"))
     flying = (
-        scarcest.join(small_side(left), ["plan_id", "category"])
+        drawable.join(small_side(sized.where("quota > 0").select("plan_id", "category", "quota", "n")), ["plan_id", "category"])
         .join(small_side(sizes), "plan_id")
-        .select("plan_id", "category", block.alias("block"), "sample_id", F.least(F.lit(1.0), F.col("desired") / F.col("n")).alias("pi"))
-        .where("pi > 0")
+        .select("plan_id", "category", block.alias("block"), "sample_id", (F.col("quota") / F.col("n")).alias("pi"))
     )
     level, chosen = 0, None
     while True:
@@ -227,7 +302,7 @@ def balanced_sample(
         .fillna(0, ["selected"])
         .select(
             "plan_id", "label", "status", "available", "needed", "desired", "selected",
-            (F.col("selected") - F.col("desired")).alias("residual"), (F.col("available") < F.col("needed")).alias("short"),
+            (F.col("selected") - F.col("desired")).alias("residual"), ((F.col("selected") < F.col("needed")) & (F.col("available") < F.col("needed"))).alias("short"),
         )
     )
     return sample, report

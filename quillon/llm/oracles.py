@@ -54,7 +54,9 @@ _TARGETS = f"""
 alias as (select {_n('alias')} as alias, min({_n('canonical_label')}) as name from label_alias group by 1),
 target as (
   select plan_id, coalesce(name, {_n('t.canonical_label')}) as label, {_n('known_status')} as status,
-    max(greatest(coalesce(min_rows, 0), cast(ceil(coalesce(target_fraction, 0) * coalesce(sample_size, 0) - 1e-9) as bigint))) as needed
+    max(greatest(coalesce(min_rows, 0), cast(ceil(coalesce(target_fraction, 0) * coalesce(sample_size, 0) - 1e-9) as bigint))) as needed,
+    max(greatest(coalesce(min_rows, 0), coalesce(target_fraction, 0) * coalesce(sample_size, 0))) as desired,
+    max(coalesce(target_fraction, 0)) as fraction, max(coalesce(sample_size, 0)) as size
   from sampling_target t left join alias on alias.alias = {_n('t.canonical_label')} group by 1, 2, 3),
 have as (
   select coalesce(name, {_n('s.canonical_label')}) as label, {_n('known_status')} as status, count(distinct sample_id) as available
@@ -109,6 +111,32 @@ from (select distinct {_t('image_id')} as id from raabin_image where {_t('image_
     "p3_cutoffs": _CUTS + " select point_id, strategy, target, dataset, n_kept, n_ties, n_records, cutoff, n_kept / n_records as kept_share from result",
     "p4_found": f"""with {_TARGETS}
 select plan_id, label as canonical_label from target left join have using (label, status) where coalesce(available, 0) < needed""",
+    "p4_report": f"""with {_TARGETS},
+counted as (select target.*, coalesce(available, 0) as available from target left join have using (label, status)),
+unit as (
+  select c.plan_id, m.sample_id, c.label, c.status, available - needed as slack, count(*) over (partition by c.plan_id, m.sample_id) as k
+  from counted c join (select distinct sample_id, coalesce(name, {_n('s.canonical_label')}) as label, {_n('known_status')} as status
+    from sample_manifest s left join alias on alias.alias = {_n('s.canonical_label')} where trim(sample_id) != '') m using (label, status)),
+risk as (select *, count(*) filter (k > 1) over (partition by plan_id, label, status) as shared from unit),
+drawn as (
+  select plan_id, sample_id, arg_min({{'label': label, 'status': status}},
+    {{'last': case when slack >= 0 and slack < shared then 0 else 1 end, 'slack': slack, 'label': label, 'status': status}}) as k from risk group by 1, 2),
+own as (select plan_id, k.label as label, k.status as status, count(*) as n from drawn group by 1, 2, 3),
+q as (select counted.*, coalesce(n, 0) as n, least(coalesce(n, 0), needed) as base from counted left join own using (plan_id, label, status)),
+q2 as (
+  select *, case when fraction > 0 then n - base else 0 end as spare,
+    greatest(0, least(sum(needed - base) over (partition by plan_id), max(size) over (partition by plan_id) - sum(base) over (partition by plan_id))) as gap from q),
+g as (
+  select *, (gap - coalesce(sum(spare) over (partition by plan_id order by spare / fraction, label, status rows between unbounded preceding and 1 preceding), 0))
+    / sum(fraction) over (partition by plan_id order by spare / fraction, label, status rows between current row and unbounded following) as level
+  from q2 where spare > 0),
+g2 as (select *, max(level) filter (spare >= fraction * level) over (partition by plan_id) as met from g),
+g3 as (select *, sum(case when spare < fraction * level or met is null then spare else fraction * met end) over (partition by plan_id order by label, status) as upto from g2),
+added as (
+  select plan_id, label, status, floor(upto + 1e-6) - floor(coalesce(lag(upto) over (partition by plan_id order by label, status), 0) + 1e-6) as added from g3)
+select plan_id, label, status, available, needed, desired, cast(base + coalesce(added, 0) as bigint) as selected,
+  base + coalesce(added, 0) - desired as residual, available < needed as short
+from q2 left join added using (plan_id, label, status)""",
     "p5_found": _RELATED + """,
 bad as (select low from part join raw using (sample_id) group by low having count(distinct split) > 1)
 select sample_id from part join bad using (low)""",
