@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import trim_lower
@@ -12,8 +12,9 @@ from quillon.session import cut, small_side
 
 BLOCK_TOKENS = 1024
 SEED = 8
-_GOLDEN = 2654435769
-_TURN = 2**32
+_LIMB = 2**24
+_TURN = _LIMB * _LIMB
+_GOLDEN = 173961102589771
 _PIECE_SLOTS = 65_536
 
 
@@ -66,6 +67,19 @@ def shuffled_blocks(tokens: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: i
     )
 
 
+def golden_point(slot: Column) -> Column:
+    """The fractional part of (slot + 1) times the golden ratio, to 48 bits.
+
+    The product is taken modulo 2**48 in two limbs of 24 bits, so no step leaves the range
+    of a bigint, whatever the slot.
+    """
+    s = F.pmod(slot, F.lit(_TURN)) + 1
+    low, high = F.pmod(s, F.lit(_LIMB)), F.pmod(F.floor(s / _LIMB), F.lit(_LIMB))
+    g_low, g_high = _GOLDEN % _LIMB, _GOLDEN // _LIMB
+    cross = F.pmod(low * F.lit(g_high) + high * F.lit(g_low), F.lit(_LIMB))
+    return F.pmod(low * F.lit(g_low) + cross * F.lit(_LIMB), F.lit(_TURN)) / F.lit(float(_TURN))
+
+
 def slot_schedule(goals: DataFrame, totals: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(mix_id, slot, source, rank, source_tokens, start, n_tokens): what each slot takes.
 
@@ -89,8 +103,7 @@ def slot_schedule(goals: DataFrame, totals: DataFrame, block_tokens: int = BLOCK
     pieces = slots.select("mix_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / _PIECE_SLOTS))).alias("piece"))
     first = F.col("piece") * _PIECE_SLOTS
     each = pieces.select("mix_id", "piece", F.explode(F.sequence(first, F.least(F.col("n"), first + _PIECE_SLOTS) - 1)).alias("slot"))
-    point = F.pmod((F.col("slot") + 1) * F.lit(_GOLDEN), F.lit(_TURN)) / F.lit(float(_TURN))
-    drawn = each.withColumn("u", point).join(small_side(arcs), "mix_id").where("lo <= u and u < hi")
+    drawn = each.withColumn("u", golden_point(F.col("slot"))).join(small_side(arcs), "mix_id").where("lo <= u and u < hi")
     ranked = running_total(drawn, ["mix_id", "source"], "piece", ["slot"], F.lit(1), "rank")
     start = F.col("rank").cast("bigint") * block_tokens
     left = F.col("source_tokens") * F.col("max_repeats") - start
@@ -124,9 +137,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, rank_file: str = RANK_
 
     ``mixture`` is (mix_id, slot, source, repeat, doc_id, from_token, to_token), ``report``
     one row a mix and source: weight, target_tokens, source_tokens, capacity (tokens times
-    max_repeats), n_slots, mixed_tokens, actual_share of the mix, and short: capacity under
-    weight times budget. Sources no document has get zeros; documents of sources a mix
-    does not name are not drawn. Empty tables give empty results.
+    max_repeats), n_slots, mixed_tokens, actual_share of the mix, holding_tokens (the largest
+    total at which every source of the mix can still give its weight; beyond it the short
+    sources leave slots empty, and the actual shares of the others lie above their
+    weights) and short: the schedule gave the source
+    fewer tokens than weight times budget, and, checked exactly, its capacity is less; a
+    source that only rounding to whole blocks keeps under its target is not short. Sources
+    no document has get zeros; documents of sources a mix does not name are not drawn.
+    Empty tables give empty results.
     """
     tokens = cut(document_tokens(documents, rank_file))
     totals = cut(tokens.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens")))
@@ -137,13 +155,16 @@ def mix_sources(documents: DataFrame, targets: DataFrame, rank_file: str = RANK_
     whole = F.sum("mixed_tokens").over(Window.partitionBy("mix_id"))
     want = F.col("weight") * F.col("budget")
     capacity = F.col("source_tokens") * F.col("max_repeats")
+    holding = F.min(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight"))).over(Window.partitionBy("mix_id"))
     report = (
         goals.join(totals, "source", "left")
         .join(used, ["mix_id", "source"], "left")
         .fillna(0, ["source_tokens", "n_slots", "mixed_tokens"])
+        .withColumn("capacity", capacity)
         .select(
-            "mix_id", "source", "weight", want.alias("target_tokens"), "source_tokens", capacity.alias("capacity"), "n_slots", "mixed_tokens",
-            F.when(whole > 0, F.col("mixed_tokens") / whole).otherwise(0.0).alias("actual_share"), (capacity < want).alias("short"),
+            "mix_id", "source", "weight", want.alias("target_tokens"), "source_tokens", "capacity", "n_slots", "mixed_tokens",
+            F.when(whole > 0, F.col("mixed_tokens") / whole).otherwise(0.0).alias("actual_share"), holding.alias("holding_tokens"),
+            ((F.col("mixed_tokens") < want) & (F.col("capacity") < want)).alias("short"),
         )
     )
     return mixture, report
