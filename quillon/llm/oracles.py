@@ -107,6 +107,16 @@ ORACLES: dict[str, str] = {
 select i.id as image_id, coalesce(g.group_id, i.id) as group_id
 from (select distinct {_t('image_id')} as id from raabin_image where {_t('image_id')} != '') i left join g on g.image_id = i.id""",
     "p2_found": _PAIRS + " select least(train_id, eval_id) as image_id_a, greatest(train_id, eval_id) as image_id_b from found",
+    "p2_report": _PAIRS.replace("a.sha = b.sha as same_sha,", "a.sha = b.sha as same_sha, a.h as train_h, b.h as eval_h,") + """,
+piece(low, w) as (values (0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)),
+cover as (
+  select train_id, eval_id, case when coalesce(same_sha, false) then 64 when coalesce(bits <= 4, false) then
+    (select sum(w) from piece where substr(train_h, 65 - low - w, w) = substr(eval_h, 65 - low - w, w)) end as covered,
+    coalesce(same_sha, false) or coalesce(bits = 0, false) as exact from found),
+one as (select eval_id, count(*) as k, count(*) filter (exact) as exact, max(covered) as most from cover group by 1)
+select split, source, count(*) as n_images, count(k) as n_overlapping, coalesce(sum(k), 0)::bigint as n_pairs, coalesce(sum(exact), 0)::bigint as n_exact_pairs,
+  coalesce(max(most), 0)::int as most_covered_bits
+from images left join one on one.eval_id = images.id where split in ('validation', 'test') group by 1, 2""",
     "p3_found": _CUTS + " select point_id, dataset, cast(round(cutoff * 1000000) as bigint) as cutoff_ppm, n_kept from result",
     "p3_cutoffs": _CUTS + " select point_id, strategy, target, dataset, n_kept, n_ties, n_records, cutoff, n_kept / n_records as kept_share from result",
     "p4_found": f"""with {_TARGETS}

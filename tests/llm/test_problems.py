@@ -96,6 +96,32 @@ def test_overlaps_match_brute_force(spark):
     assert report == len(want)
 
 
+@pytest.mark.parametrize(("pieces", "hot"), [(6, 3), (8, 100), (10, 2)])
+def test_overlaps_of_any_pieces_and_hot_passages(spark, pieces, hot):
+    rng = random.Random(3)
+    base = [0, rng.getrandbits(64)]
+    near = lambda h: h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(8)))
+    sides = [[near(base[i % 2]) for i in range(40)] + [rng.getrandbits(64) for _ in range(20)] for _ in range(2)]
+    sides = [sorted(set(s)) for s in sides]
+    text = lambda h: str(h - (1 << 64) if h >= 1 << 63 else h)
+    frames = [spark.createDataFrame([("hash", text(h)) for h in s] + [("checksum", text(s[0])), ("checksum", "x")], "kind string, value string") for s in sides]
+    widths = [64 // pieces + (i < 64 % pieces) for i in range(pieces)]
+    got = split_overlap.overlapping_values(*frames, widths=widths, hot_owners=hot).collect()
+    found = {(r["eval_value"], r["train_value"]): r["bits"] for r in got if r["kind"] == "hash"}
+    assert found == {(text(a), text(b)): (a ^ b).bit_count() for a in sides[0] for b in sides[1] if (a ^ b).bit_count() <= 4}
+    assert len(found) == sum(r["kind"] == "hash" for r in got) > 20
+    assert [(r["eval_value"], r["covered"]) for r in got if r["kind"] == "checksum" and r["eval_value"] == "x"] == [("x", 2**pieces - 1)]
+
+
+def test_candidates_grow_as_the_hashes():
+    each = []
+    for n in (10**5, 10**7, 10**9):
+        widths = split_overlap.piece_widths(n)
+        kept = sorted(widths)[: len(widths) - split_overlap.MAX_BITS]
+        each.append(n * len(split_overlap._choices(widths)) / 2 ** sum(kept))
+    assert max(each) <= 250 and split_overlap.piece_widths(1) == [11, 11, 11, 11, 10, 10]
+
+
 def test_covered_bits(spark):
     a, b = 0, 1 << 63
     one = lambda v: spark.createDataFrame([("hash", str(v - (1 << 64) if v >= 1 << 63 else v))], "kind string, value string")
@@ -172,6 +198,34 @@ def test_sample_meets_targets(spark, block_rows):
     assert got == sorted(tuple(x) for x in cube_sample.balanced_sample(*args, block_rows=block_rows)[0].collect())
 
 
+def test_category_flight_keeps_each_count():
+    rng = np.random.default_rng(2)
+    category = rng.integers(0, 9, 3000) * 10**15
+    pi = rng.random(3000)
+    pi[:5] = [0, 1, 1e-12, 1 - 1e-12, 0.5]
+    got = cube_sample.category_flight(pi, category, rng)
+    for c in np.unique(category):
+        assert abs(got[category == c].sum() - pi[category == c].sum()) < 1e-6 and ((got > 0) & (got < 1) & (category == c)).sum() <= 1
+    done = cube_sample.category_landing(got, rng)
+    assert set(np.unique(done)) <= {0.0, 1.0} and abs(done.sum() - pi.sum()) <= 1
+    assert all(abs(done[category == c].sum() - pi[category == c].sum()) <= 1 for c in np.unique(category))
+    mean = np.mean([cube_sample.category_flight(np.array([0.2, 0.7, 0.6, 0.5]), np.zeros(4), np.random.default_rng(s)) for s in range(6000)], axis=0)
+    assert np.allclose(mean, [0.2, 0.7, 0.6, 0.5], atol=0.03)
+    assert len(cube_sample.category_flight(np.zeros(0), np.zeros(0, dtype=int), rng)) == 0
+
+
+def test_shortages_are_handed_on(spark):
+    rows = [(f"s{i}", "abc"[min(2, i // 100)], "known", "", 0) for i in range(205)] + [("s0", "c", "known", "", 0), ("s150", "c", "known", "", 0)]
+    targets = [(1, "a", "known", 0.5, 0, 150, ""), (1, "b", "known", 0.25, 0, 150, ""), (1, "c", "known", 0.25, 0, 150, ""), (2, "a", "known", 0.9, 0, 1000, ""), (2, "c", "known", 0.1, 7, 70, "")]
+    args = spark.createDataFrame(rows, MANIFEST), spark.createDataFrame(targets, TARGET), spark.createDataFrame([], ALIAS)
+    sample, report = cube_sample.balanced_sample(*args)
+    r = {(x["plan_id"], x["label"]): x for x in report.collect()}
+    assert r[1, "c"]["available"] == 7 and r[1, "c"]["selected"] == 7 and r[1, "c"]["short"]
+    assert r[1, "a"]["selected"] + r[1, "b"]["selected"] == 143 and r[1, "a"]["selected"] in (96, 95) and not r[1, "a"]["short"]
+    assert r[2, "a"]["selected"] == 99 and r[2, "a"]["short"] and r[2, "c"]["selected"] == 7 and not r[2, "c"]["short"]
+    assert sample.groupBy("plan_id").count().where("plan_id = 1").first()["count"] == 150
+
+
 def test_sample_of_nothing(spark):
     none = spark.createDataFrame([], MANIFEST), spark.createDataFrame([(1, "a", "known", 0.5, 1, 10, "")], TARGET), spark.createDataFrame([], ALIAS)
     sample, report = cube_sample.balanced_sample(*none)
@@ -345,6 +399,8 @@ def test_mixture(spark):
     assert not r[1, "big"]["short"] and r[1, "big"]["source_tokens"] == tokens["big"]
     assert abs(r[1, "big"]["mixed_tokens"] - 1500) <= 48 and abs(r[1, "mid"]["mixed_tokens"] - 750) <= 48
     assert r[1, "small"]["mixed_tokens"] == r[1, "small"]["capacity"] == 2 * tokens["small"]
+    assert r[1, "big"]["holding_tokens"] == min(tokens["big"] / 0.5, 3 * tokens["mid"] / 0.25, 2 * tokens["small"] / 0.25)
+    assert r[2, "big"]["holding_tokens"] == 0
     used = mixture.groupBy("mix_id", "source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("n"), F.max("repeat").alias("m")).collect()
     assert all(u["n"] == r[u["mix_id"], u["source"]]["mixed_tokens"] for u in used)
     blocks = source_mixture.shuffled_blocks(source_mixture.document_tokens(args[0]), 16).groupBy("source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("n"))
@@ -374,6 +430,13 @@ def test_a_repeated_source_fills_every_slot(spark):
         assert sum(len(t) for k, t in seen.items() if k[0] == m) == r[m]["mixed_tokens"]
 
 
+def test_golden_points_at_any_slot(spark):
+    slots = [0, 1, 2, 3, 10**6, 2**32 + 5, 2**47, 2**48 - 1, 2**48, 2**62]
+    got = spark.createDataFrame([(s,) for s in slots], "slot bigint").select("slot", source_mixture.golden_point(F.col("slot")).alias("u")).collect()
+    turn = 2**48
+    assert {r["slot"]: r["u"] for r in got} == {s: (s + 1) * source_mixture._GOLDEN % turn / turn for s in slots}
+
+
 WORDS = {"law": ["court", "clause", "licence", "appeal"], "sport": ["match", "goal", "team", "race"], "software": ["build", "parser", "commit", "server"]}
 
 
@@ -406,6 +469,6 @@ def test_subjects(spark):
 
 def test_sentences():
     f = subject_model.sentence_words
-    assert f("[05:00:35] note A b. C 57.3 d!\n1. E") == [["a", "b"], ["c", "d"], ["e"]]
+    assert f("[05:00:35] note A b. C 57.3 d!\n1. E") == [["note", "a", "b"], ["c", "d"], ["e"]]
     assert f("so­ft ze​ro") == [["soft", "zero"]]
     assert f(None) == f("") == f(" \t") == f("1. 2.") == []
