@@ -307,6 +307,7 @@ ARCHIVE = "sample_id string, embedding array<float>, id string, unit string"
 @pytest.mark.parametrize("hot_rows", [500_000, 40])
 def test_neighbors_reach_brute_force(spark, hot_rows, monkeypatch):
     monkeypatch.setattr(vector_neighbors, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(vector_neighbors, "HOT_PAIRS", hot_rows)
     rng = np.random.default_rng(8)
     centers = rng.normal(size=(80, 96))
     x = np.repeat(centers, 12, axis=0) + rng.normal(size=(960, 96)) * 0.22
