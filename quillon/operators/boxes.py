@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.prefix import by_range, running_most, running_total
+
 
 def area(b: Column) -> Column:
     return F.greatest(b["x_max"] - b["x_min"], F.lit(0.0)) * F.greatest(b["y_max"] - b["y_min"], F.lit(0.0))
@@ -38,7 +40,7 @@ def touches_border(b: Column, width: Column, height: Column) -> Column:
     return (b["x_min"] <= 0) | (b["y_min"] <= 0) | (b["x_max"] >= width) | (b["y_max"] >= height)
 
 
-_MATCH = "image_id string, detection_id string, gt_id string, iou double, confidence double, status string"
+_MATCH = "bound double, image_id string, detection_id string, gt_id string, iou double, confidence double, status string"
 
 
 def _overlap(a: tuple, b: tuple) -> float:
@@ -49,21 +51,24 @@ def _overlap(a: tuple, b: tuple) -> float:
     return w * h / union if union > 0 else 0.0
 
 
-def _greedy(bound: float):
+def _greedy(bounds: list[float]):
     def one(image: str, found: list, truth: list) -> Iterator[tuple]:
-        free = list(truth)
-        for name, box, confidence in found:
-            best, value = -1, 0.0
-            for k, (_, other) in enumerate(free):
-                v = _overlap(box, other)
-                if v > value:
-                    best, value = k, v
-            if best >= 0 and value >= bound:
-                yield image, name, free.pop(best)[0], value, confidence, "TP"
-            else:
-                yield image, name, None, 0.0, confidence, "FP"
-        for g, _ in free:
-            yield image, None, g, 0.0, None, "MISSED"
+        over = [[_overlap(box, other) for _, other in truth] for _, box, _ in found]
+        for bound in bounds:
+            free = [True] * len(truth)
+            for (name, _, confidence), row in zip(found, over, strict=True):
+                best, value = -1, 0.0
+                for k, v in enumerate(row):
+                    if free[k] and v > value:
+                        best, value = k, v
+                if best >= 0 and value >= bound:
+                    free[best] = False
+                    yield bound, image, name, truth[best][0], value, confidence, "TP"
+                else:
+                    yield bound, image, name, None, 0.0, confidence, "FP"
+            for (g, _), left in zip(truth, free, strict=True):
+                if left:
+                    yield bound, image, None, g, 0.0, None, "MISSED"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         image, found, truth, out = None, [], [], []
@@ -89,11 +94,12 @@ def _greedy(bound: float):
 _COLUMNS = [part.split()[0] for part in _MATCH.split(", ")]
 
 
-def match_boxes(detections: DataFrame, truths: DataFrame, bound: float = 0.5) -> DataFrame:
-    """(image_id, detection_id, gt_id, iou, confidence, status): greedy one-to-one matching.
+def match_boxes(detections: DataFrame, truths: DataFrame, bound: float | list[float] = 0.5) -> DataFrame:
+    """(bound, image_id, detection_id, gt_id, iou, confidence, status): greedy one-to-one matching.
 
     Within an image detections go by falling confidence and take the unused truth of the
-    largest overlap if it reaches ``bound``; ties go to the smaller id. Both sides are
+    largest overlap if it reaches ``bound``; ties go to the smaller id. Several bounds are
+    matched in one pass, the overlaps of an image computed once. Both sides are
     brought together by image and sorted in one exchange, and images stream through a task
     one after the other, so what it holds is the boxes of one image. Rows without an image
     or id are left out; boxes that share an id are boxes of their own.
@@ -103,7 +109,7 @@ def match_boxes(detections: DataFrame, truths: DataFrame, bound: float = 0.5) ->
     d = detections.where("detection_id is not null").select("image_id", F.lit(1).alias("side"), F.col("detection_id").alias("key"), "confidence", *box)
     both = g.unionByName(d).where("image_id is not null")
     ordered = both.repartition("image_id").sortWithinPartitions("image_id", "side", F.desc_nulls_last("confidence"), "key")
-    return ordered.mapInPandas(_greedy(bound), _MATCH)
+    return ordered.mapInPandas(_greedy([float(b) for b in bound] if isinstance(bound, list) else [float(bound)]), _MATCH)
 
 
 def precision_recall(matches: DataFrame) -> DataFrame:
@@ -114,12 +120,36 @@ def precision_recall(matches: DataFrame) -> DataFrame:
 
 
 def average_precision(matches: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ap): area under the envelope of precision over recall, detections of one confidence together."""
-    truth = matches.where("status != 'FP'").groupBy(*by).agg(F.count("*").alias("n_truth")) if by else matches.where("status != 'FP'").agg(F.count("*").alias("n_truth"))
+    """(by, ap): area under the envelope of precision over recall, detections of one confidence together.
+
+    Counts by confidence are summed downwards, and the envelope is taken upwards, range by
+    range of the confidences, so no task orders them all.
+    """
+    truth = matches.where("status != 'FP'").groupBy(*by).agg(F.count("*").alias("n_truth"))
     counts = matches.where("status != 'MISSED'").groupBy(*by, "confidence").agg(F.count_if(F.col("status") == "TP").alias("tp"), F.count("*").alias("n"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("confidence"))
-    run = counts.withColumn("ctp", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("cn", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = (run.join(truth, by) if by else run.crossJoin(F.broadcast(truth))).withColumn("recall", F.col("ctp") / F.col("n_truth")).withColumn("p", F.col("ctp") / F.col("cn"))
-    up = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("confidence").rowsBetween(Window.unboundedPreceding, 0)
-    run = run.withColumn("env", F.max("p").over(up)).withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
-    return run.groupBy(*by).agg(F.sum(F.col("step") * F.col("env")).alias("ap"))
+    run = by_range(counts.withColumn("down", -F.col("confidence")), ["down"])
+    for c in ("tp", "n"):
+        run = running_total(run, by, "piece", ["down"], F.col(c), f"{c}_above")
+    run = run.join(F.broadcast(truth), by) if by else run.crossJoin(F.broadcast(truth))
+    p = (F.col("tp_above") + F.col("tp")) / (F.col("n_above") + F.col("n"))
+    run = running_most(run.withColumn("up", -F.col("piece")), by, "up", ["confidence"], p, "env")
+    return run.groupBy(*by).agg(F.sum(F.col("tp") / F.col("n_truth") * F.col("env")).alias("ap"))
+
+
+def threshold_sweep(detections: DataFrame, truths: DataFrame, bounds: list[float], overlap: float = 0.5) -> DataFrame:
+    """(score_bound, tp, fp, missed, precision, recall, f1, best): detections at or above each score bound.
+
+    Greedy matching takes detections by falling confidence, so what a bound leaves out comes
+    last and changes no earlier match: one matching serves all bounds. The best bound is
+    that of the largest F1, then recall, then the smallest.
+    """
+    m = match_boxes(detections, truths, overlap)
+    counts = m.where("status != 'MISSED'").select(F.explode(F.array(*[F.lit(float(b)) for b in bounds])).alias("score_bound"), "confidence", "status")
+    kept = F.coalesce(F.col("confidence") >= F.col("score_bound"), F.lit(False))
+    c = counts.groupBy("score_bound").agg(F.count_if(kept & (F.col("status") == "TP")).alias("tp"), F.count_if(kept & (F.col("status") == "FP")).alias("fp"))
+    c = c.crossJoin(F.broadcast(truths.where("gt_id is not null and image_id is not null").agg(F.count("*").alias("n")))).withColumn("missed", F.col("n") - F.col("tp")).drop("n")
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    c = c.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("missed")))
+    c = c.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    top = c.agg(F.max(F.struct("f1", "recall", (-F.col("score_bound")).alias("b"))).alias("t")).select((-F.col("t.b")).alias("top"))
+    return c.crossJoin(F.broadcast(top)).withColumn("best", F.col("score_bound") == F.col("top")).drop("top")

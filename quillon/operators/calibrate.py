@@ -5,45 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.prefix import by_range, linear_quantiles, running_total
+from quillon.session import cut, small_side
+
 
 def strict_threshold(scores: DataFrame, score: str, target: float = 0.95) -> DataFrame:
     """One row (threshold): the linear ``target`` quantile of known validation scores; null without rows."""
-    return scores.agg(F.percentile(score, F.lit(target)).alias("threshold"))
+    counts = scores.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"))
+    return linear_quantiles(cut(counts), [], score, "n", {"threshold": target})
 
 
-def development_threshold(known: DataFrame, unknown: DataFrame, score: str, target: float = 0.95) -> DataFrame:
+def development_threshold(known: DataFrame, unknown: DataFrame, score: str, target: float = 0.95, label: str | None = None) -> DataFrame:
     """One row (threshold, known_recall, unknown_recall): the best mean of both recalls among
     the occurring scores whose known recall reaches the target; the smallest on a tie.
 
-    Scores are counted by value before they are ordered. Without known or unknown rows the
-    result is empty. Classes of both sides must be disjoint; see ``overlapping_classes``.
+    Scores are counted by value before they are ordered, range by range. Without known or
+    unknown rows the result is empty. With ``label``, a class on both sides raises.
     """
+    if label:
+        check_disjoint(known, unknown, label)
     rows = known.select(F.col(score).alias("s"), F.lit(1).alias("k")).unionByName(unknown.select(F.col(score).alias("s"), F.lit(0).alias("k")))
-    counts = rows.where("s is not null and not isnan(s)").groupBy("s").agg(F.sum("k").alias("k"), F.sum(1 - F.col("k")).alias("u"))
-    upto = Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(0))
-    share = lambda c: F.try_divide(F.sum(c).over(upto), F.sum(c).over(every))
-    r = counts.select("s", share("k").alias("known_recall"), (1 - share("u")).alias("unknown_recall")).where("unknown_recall is not null")
+    counts = cut(rows.where("s is not null and not isnan(s)").groupBy("s").agg(F.sum("k").alias("k"), F.sum(1 - F.col("k")).alias("u")))
+    run = by_range(counts, ["s"])
+    for c in ("k", "u"):
+        run = running_total(run, [], "piece", ["s"], F.col(c), f"{c}_below")
+    every = counts.agg(F.sum("k").alias("nk"), F.sum("u").alias("nu"))
+    share = lambda c: F.try_divide(F.col(f"{c}_below") + F.col(c), F.col(f"n{c}"))
+    r = run.crossJoin(F.broadcast(every)).select("s", share("k").alias("known_recall"), (1 - share("u")).alias("unknown_recall")).where("unknown_recall is not null")
     allowed = r.where(F.col("known_recall") + 1e-12 >= target)
     best = allowed.agg(F.max_by(F.struct("s", "known_recall", "unknown_recall"), F.struct((0.5 * (F.col("known_recall") + F.col("unknown_recall"))).alias("b"), (-F.col("s")).alias("n"))).alias("b"))
     return best.where("b is not null").select(F.col("b.s").alias("threshold"), "b.known_recall", "b.unknown_recall")
 
 
 def overlapping_classes(a: DataFrame, b: DataFrame, label: str) -> DataFrame:
-    """Labels that both sides hold; must be empty for a development threshold."""
+    """Labels that both sides hold."""
     return a.select(label).intersect(b.select(label))
 
 
+def check_disjoint(a: DataFrame, b: DataFrame, label: str) -> None:
+    """Raises if a label is on both sides; names the first ten."""
+    both = [r[0] for r in overlapping_classes(a, b, label).orderBy(label).limit(10).collect()]
+    if both:
+        raise ValueError(f"classes on both sides: {', '.join(map(str, both))}")
+
+
 def empirical_percentile(rows: DataFrame, reference: DataFrame, score: str, out: str) -> DataFrame:
     """``rows`` with ``out``: the share of reference scores at or below the row's score.
 
-    Reference and rows are counted by distinct score in one ordering, then joined back, so
-    no range join is needed. With an empty reference the share is null.
+    Reference and rows are counted by distinct score, ordered range by range, then joined
+    back, so no range join is needed. With an empty reference the share is null.
     """
     counts = rows.select(F.col(score).alias("__s"), F.lit(0).alias("__r")).unionByName(reference.select(F.col(score).alias("__s"), F.lit(1).alias("__r")))
-    by = counts.where("__s is not null").groupBy("__s").agg(F.sum("__r").alias("__n"))
-    upto = Window.partitionBy(F.lit(0)).orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)
-    share = by.select("__s", F.try_divide(F.sum("__n").over(upto), F.sum("__n").over(Window.partitionBy(F.lit(0)))).alias(out))
+    by = cut(counts.where("__s is not null").groupBy("__s").agg(F.sum("__r").alias("__n")))
+    run = running_total(by_range(by, ["__s"]), [], "piece", ["__s"], F.col("__n"), "__below")
+    every = by.agg(F.sum("__n").alias("__all"))
+    share = run.crossJoin(F.broadcast(every)).select("__s", F.try_divide(F.col("__below") + F.col("__n"), F.col("__all")).alias(out))
     return rows.join(share, rows[score] == share["__s"], "left").drop("__s")
 
 
@@ -57,11 +73,10 @@ def max_fusion(a: Column, b: Column) -> Column:
 
 def representatives(df: DataFrame, label: str, score: str, key: str, quantiles: list[float]) -> DataFrame:
     """Rows of each label at the given score quantiles: rank half-even round of q (n - 1), each once."""
-    order = Window.partitionBy(label).orderBy(score, key)
-    n = F.count("*").over(Window.partitionBy(label))
     at = [F.bround(F.lit(q) * (F.col("__n") - 1)).cast("bigint") for q in quantiles]
-    ranked = df.withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", n)
-    return ranked.where(F.array_contains(F.array(*at), F.col("__i").cast("bigint"))).drop("__i", "__n")
+    sizes = df.groupBy(label).agg(F.count("*").alias("__n"))
+    ranked = running_total(by_range(df, [score, key], "__range"), [label], "__range", [score, key], F.lit(1), "__i").join(small_side(sizes), label)
+    return ranked.where(F.array_contains(F.array(*at), F.col("__i").cast("bigint"))).select(*df.columns)
 
 
 def accepted(strategy: str, confidence: Column, margin: Column, unknown: Column, quality: Column, c: Column, m: Column, u: Column) -> Column:
@@ -73,12 +88,28 @@ def accepted(strategy: str, confidence: Column, margin: Column, unknown: Column,
     return quality & (unknown < u) & (confidence >= c) & (margin >= m)
 
 
-def threshold_grid(df: DataFrame, column: str, steps: int = 20) -> DataFrame:
-    """The distinct linear quantiles at 0, 1/steps, .., 1, to nine digits, so that the noise
-    of interpolation does not set a threshold just above the value it should equal."""
-    q = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
-    tidy = F.transform("q", lambda x: F.round(x, 9))
-    return df.agg(F.percentile(column, q).alias("q")).select(F.explode(F.array_distinct(tidy)).alias(column))
+def accepted_by(strategy: Column, confidence: Column, margin: Column, unknown: Column, quality: Column, c: Column, m: Column, u: Column) -> Column:
+    """``accepted`` with the strategy in a column; a foreign strategy accepts nothing."""
+    hit = F.lit(False)
+    for name in ("confidence_only", "confidence_margin", "confidence_margin_msp_qc"):
+        hit = F.when(strategy == name, accepted(name, confidence, margin, unknown, quality, c, m, u)).otherwise(hit)
+    return hit
+
+
+def threshold_grids(df: DataFrame, columns: list[str], steps: int = 20) -> DataFrame:
+    """One row, an array a column: its distinct linear quantiles at 0, 1/steps, .., 1 in order.
+
+    They have nine digits, so that the noise of interpolation does not set a threshold just
+    above the value it should equal. All columns are counted and ordered in one pass.
+    """
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v").where("v is not null and not isnan(v)")
+    counts = cut(long.groupBy("column", "v").agg(F.count("*").alias("n")))
+    names = {f"q{i}": i / steps for i in range(steps + 1)}
+    q = linear_quantiles(counts, ["column"], "v", "n", names)
+    tidy = F.array_sort(F.array_distinct(F.transform(F.array(*names), lambda x: F.round(x, 9))))
+    one = q.select("column", tidy.alias("g"))
+    pick = lambda c: F.coalesce(F.max(F.when(F.col("column") == c, F.col("g"))), F.array().cast("array<double>"))
+    return cut(one.agg(*[pick(c).alias(c) for c in columns]))
 
 
 def operating_points(records: DataFrame, targets: list[float], steps: int = 20) -> DataFrame:
@@ -89,16 +120,14 @@ def operating_points(records: DataFrame, targets: list[float], steps: int = 20)
     the quantile grid once and counted by grid cell, so the grid's coverages come from at
     most (steps + 1)^3 cells whatever the number of records, and are shared by all targets.
     """
-    grids = {c: threshold_grid(records, c, steps) for c in ("confidence", "margin", "unknown_score")}
-    one = None
-    for c, g in grids.items():
-        a = g.agg(F.array_sort(F.collect_list(c)).alias(f"g_{c}"))
-        one = a if one is None else one.crossJoin(a)
+    columns = ["confidence", "margin", "unknown_score"]
+    one = threshold_grids(records, columns, steps).select(*[F.col(c).alias(f"g_{c}") for c in columns])
     n = records.agg(F.count("*").alias("n_records"))
     below = lambda c: F.size(F.filter(f"g_{c}", lambda t: t <= F.col(c)))
     cells = records.crossJoin(F.broadcast(one)).groupBy(
         below("confidence").alias("ic"), below("margin").alias("im"), below("unknown_score").alias("iu"), F.coalesce("quality_pass", F.lit(False)).alias("q")
     ).agg(F.count("*").alias("k"))
+    cells, n = cut(cells), cut(n)
     parts = []
     at = lambda c, i: F.posexplode(F.col(f"g_{c}")).alias(i, f"t_{c}")
     for strategy in ("confidence_only", "confidence_margin", "confidence_margin_msp_qc"):

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.prefix import running_total
-from quillon.session import cut
-
-PIECES = 1024
+from quillon.operators.prefix import by_range, linear_quantiles, running_total
+from quillon.session import cut, small_side
 
 
 def score_counts(df: DataFrame, by: list[str], positive: Column, score: Column) -> DataFrame:
@@ -26,20 +24,19 @@ def _group(by: list[str]):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
 
-def _pieces(counts: DataFrame) -> DataFrame:
-    """``counts`` with ``piece``: which of PIECES equal stretches of the score range a row is in."""
-    span = counts.agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
-    at = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("score") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PIECES)).otherwise(0)
-    return counts.crossJoin(F.broadcast(span)).withColumn("piece", at).drop("__lo", "__hi")
+def _with_totals(run: DataFrame, counts: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """``run`` with sums of ``counts`` over each group, one row a group."""
+    every = counts.groupBy(*by).agg(*[F.sum(c).alias(name) for c, name in columns.items()])
+    return run.join(small_side(every), by) if by else run.crossJoin(F.broadcast(every))
 
 
 def auroc(counts: DataFrame, by: list[str]) -> DataFrame:
     """(by, auroc): chance that a positive outranks a negative, ties half; null if a side is empty.
 
-    The negatives below a score are summed piece by piece of the score range, so no task
-    orders all scores. ``by`` must hold no nulls.
+    The negatives below a score are summed piece by piece of the scores in order, so no
+    task orders all scores. ``by`` must hold no nulls.
     """
-    below = running_total(_pieces(counts), by, "piece", ["score"], F.col("neg"), "__below")
+    below = running_total(by_range(counts, ["score"]), by, "piece", ["score"], F.col("neg"), "__below")
     won = below.withColumn("__won", F.col("pos") * (F.col("__below") + F.col("neg") / 2))
     sides = F.sum("pos") * F.sum("neg")
     return won.groupBy(*by).agg(F.when(sides > 0, F.sum("__won") / sides).alias("auroc"))
@@ -47,52 +44,71 @@ def auroc(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def average_precision(counts: DataFrame, by: list[str]) -> DataFrame:
     """(by, aupr): precision summed over the steps in recall, scores falling; piece by piece as ``auroc``."""
-    falling = _pieces(counts).withColumn("__neg_piece", -F.col("piece")).withColumn("__neg_score", -F.col("score"))
-    run = running_total(falling, by, "__neg_piece", ["__neg_score"], F.col("pos"), "__p")
-    run = running_total(run, by, "__neg_piece", ["__neg_score"], F.col("neg"), "__n")
+    run = falling(counts, by, {"pos": "__p", "neg": "__n"})
     p, n = F.col("__p") + F.col("pos"), F.col("__n") + F.col("neg")
     return run.groupBy(*by).agg(F.when(F.sum("pos") > 0, F.sum(F.col("pos") * p / (p + n)) / F.sum("pos")).alias("aupr"))
 
 
+def falling(counts: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """``counts`` with the sums of ``columns`` over all larger scores of the group."""
+    run = by_range(counts.withColumn("__down", -F.col("score")), ["__down"])
+    for c, name in columns.items():
+        run = running_total(run, by, "piece", ["__down"], F.col(c), name)
+    return run.drop("piece", "__down")
+
+
 def fpr_at_tpr(df: DataFrame, by: list[str], positive: Column, score: Column, tpr: float = 0.95) -> DataFrame:
-    """(by, fpr): share of negatives strictly above the (1 - tpr) linear quantile of positives."""
-    rows = df.select(*by, positive.cast("int").alias("__y"), score.cast("double").alias("__s")).where("__s is not null and not isnan(__s)")
-    cut = rows.where("__y = 1").groupBy(*by).agg(F.percentile("__s", F.lit(1 - tpr)).alias("__t"))
-    neg = rows.where("__y = 0")
-    joined = neg.join(F.broadcast(cut), by) if by else neg.crossJoin(F.broadcast(cut))
-    return joined.groupBy(*by).agg(F.avg((F.col("__s") > F.col("__t")).cast("double")).alias("fpr"))
+    """(by, fpr): share of negatives strictly above the (1 - tpr) linear quantile of positives; no row if a side is empty."""
+    return fpr_of_counts(score_counts(df, by, positive, score), by, tpr)
+
+
+def fpr_of_counts(counts: DataFrame, by: list[str], tpr: float = 0.95) -> DataFrame:
+    """``fpr_at_tpr`` of rows counted by score."""
+    bound = linear_quantiles(counts.where("pos > 0"), by, "score", "pos", {"__t": 1 - tpr})
+    neg = counts.where("neg > 0")
+    joined = neg.join(small_side(bound), by) if by else neg.crossJoin(F.broadcast(bound))
+    above = F.sum(F.when(F.col("score") > F.col("__t"), F.col("neg")).otherwise(0))
+    return joined.groupBy(*by).agg((above / F.sum("neg")).alias("fpr"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, a column a share): exact linear quantiles of the values that are neither null nor NaN."""
+    v = F.col(value).cast("double")
+    counts = cut(df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n")))
+    return linear_quantiles(counts, by, "__v", "__n", shares)
+
+
+def medians(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    return quantiles(df, by, value, {out: 0.5})
 
 
 def roc_points(counts: DataFrame, by: list[str]) -> DataFrame:
     """(by, score, tpr, fpr): the operating point that accepts scores of at least ``score``;
     the rate of a side without rows is null."""
-    w = _group(by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = _group(by)
-    rate = lambda c: F.try_divide(F.sum(c).over(w), F.sum(c).over(every))
-    return counts.select(*by, "score", rate("pos").alias("tpr"), rate("neg").alias("fpr"))
+    run = _with_totals(falling(counts, by, {"pos": "__p", "neg": "__n"}), counts, by, {"pos": "__np", "neg": "__nn"})
+    rate = lambda above, own, all_: F.try_divide(F.col(above) + F.col(own), F.col(all_))
+    return run.select(*by, "score", rate("__p", "pos", "__np").alias("tpr"), rate("__n", "neg", "__nn").alias("fpr"))
 
 
 def oscr(df: DataFrame, by: list[str], known: Column, correct: Column, confidence: Column) -> DataFrame:
     """(by, oscr): area under correct classification rate against false positive rate.
 
-    One point a distinct confidence, which accepts rows of at least it; points are ordered
-    by rate and joined by trapezoids, without a point at the origin.
+    One point a distinct confidence, which accepts rows of at least it. Both rates rise as
+    the confidence falls, so the points in that order are joined by trapezoids, each from
+    the sums before it; there is no point at the origin.
     """
-    rows = df.select(*by, known.cast("int").alias("__k"), (known & correct).cast("int").alias("__c"), confidence.alias("__s"))
-    counts = rows.where("__s is not null").groupBy(*by, "__s").agg(
+    rows = df.select(*by, known.cast("int").alias("__k"), (known & correct).cast("int").alias("__c"), confidence.alias("score"))
+    counts = cut(rows.where("score is not null").groupBy(*by, "score").agg(
         F.sum("__c").alias("__right"), F.sum("__k").alias("__known"), F.sum(1 - F.col("__k")).alias("__unknown")
-    )
-    w = _group(by).orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
-    every = _group(by)
+    ))
+    run = falling(counts, by, {"__right": "__r", "__known": "__seen", "__unknown": "__u"})
+    run = _with_totals(run, counts, by, {"__known": "__nk", "__unknown": "__nu"})
     one = F.lit(1)
-    points = counts.select(
-        *by,
-        (F.sum("__right").over(w) / F.greatest(one, F.sum("__known").over(every))).alias("ccr"),
-        (F.sum("__unknown").over(w) / F.greatest(one, F.sum("__unknown").over(every))).alias("fpr"),
-    )
-    last = _group(by).orderBy("fpr", "ccr")
-    area = (F.col("fpr") - F.lag("fpr").over(last)) * (F.col("ccr") + F.lag("ccr").over(last)) / 2
-    return points.withColumn("__a", area).groupBy(*by).agg(F.coalesce(F.sum("__a"), F.lit(0.0)).alias("oscr"))
+    ccr = lambda c: c / F.greatest(one, F.col("__nk"))
+    fpr = lambda c: c / F.greatest(one, F.col("__nu"))
+    step = (fpr(F.col("__u") + F.col("__unknown")) - fpr(F.col("__u"))) * (ccr(F.col("__r") + F.col("__right")) + ccr(F.col("__r"))) / 2
+    later = F.col("__seen") + F.col("__u") > 0
+    return run.groupBy(*by).agg(F.coalesce(F.sum(F.when(later, step)), F.lit(0.0)).alias("oscr"))
 
 
 def expected_calibration_error(df: DataFrame, by: list[str], confidence: Column, correct: Column, bins: int = 15) -> DataFrame:

@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.session import cut
+
 BLOCK_ROWS = 4096
+SENT_BLOCKS = 32
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -30,7 +33,8 @@ def nearest_neighbors(queries: DataFrame, bank: DataFrame, key: str, vector: str
 
     Both sides are packed into blocks of about ``block_rows`` vectors; each pair of blocks
     is one matrix product, of which a query keeps k, and the kept rows are merged by query.
-    Memory is bounded by two blocks whatever the sizes. Ties go to the smaller neighbour id.
+    Query blocks stay where they are: the bank comes to them, SENT_BLOCKS blocks a
+    broadcast, so no block is shuffled for a pair and a broadcast is of a bounded size. Ties go to the smaller neighbour id.
     ``k`` is capped by the bank; k <= 0 raises. Ids come out as strings.
     """
     if k <= 0:
@@ -52,9 +56,11 @@ def nearest_neighbors(queries: DataFrame, bank: DataFrame, key: str, vector: str
 
     q, _ = _blocks(queries, key, vector, block_rows)
     b, n = _blocks(bank, key, vector, block_rows)
-    pairs = q.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("data").alias("q")).join(
-        b.withColumnRenamed("data", "b"), "block"
-    )
-    met = pairs.repartition("block").select("q", "b").mapInPandas(product, "id string, neighbor string, distance double")
+    q, b = cut(q).withColumnRenamed("data", "q").drop("block"), cut(b)
+    met = None
+    for first in range(0, n, SENT_BLOCKS):
+        sent = b.where(F.col("block").between(first, first + SENT_BLOCKS - 1)).select(F.col("data").alias("b"))
+        some = q.crossJoin(F.broadcast(sent)).select("q", "b").mapInPandas(product, "id string, neighbor string, distance double")
+        met = some if met is None else met.unionByName(some)
     w = Window.partitionBy("id").orderBy(F.round("distance", 12), "neighbor")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

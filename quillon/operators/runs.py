@@ -27,7 +27,7 @@ def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """
     v = F.when(~F.isnan(value) & (F.abs(F.col(value)) != float("inf")), F.col(value))
     s = df.select(*by, v.cast("double").alias("__v")).groupBy(*by).agg(
-        F.count("__v").alias("n"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("sd"), F.percentile("__v", F.lit(0.5)).alias("median"), F.min("__v").alias("least"), F.max("__v").alias("most")
+        F.count("__v").alias("n"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("sd"), F.median("__v").alias("median"), F.min("__v").alias("least"), F.max("__v").alias("most")
     )
     half = F.when(F.col("n") > 1, t_critical(F.col("n")) * F.col("sd") / F.sqrt("n")).otherwise(0.0)
     return s.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
@@ -40,6 +40,15 @@ def matched_deltas(df: DataFrame, by: list[str], side: str, a: str, b: str, valu
     return both.where("a_value is not null and b_value is not null").withColumn("delta", F.col("b_value") - F.col("a_value"))
 
 
+def pairs_within(df: DataFrame, by: list[str], member: str) -> DataFrame:
+    """Every two rows of a group, the smaller ``member`` first; other columns get ``_a`` and ``_b``.
+
+    For tables with one row a run, where a group has as many rows as there are seeds.
+    """
+    side = lambda s: df.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in by])
+    return side("a").join(side("b"), by).where(F.col(f"{member}_a") < F.col(f"{member}_b"))
+
+
 def average_rank(by: list[str], value: str) -> Column:
     """Rank with ties averaged."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
