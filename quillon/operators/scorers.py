@@ -15,6 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import vec
+from quillon.operators import centroids
+from quillon.operators.checks import finite_scores
+from quillon.operators.neighbors import nearest_neighbors
+from quillon.operators.prefix import linear_quantiles
+from quillon.session import cut
 
 
 class Scorer(Protocol):
@@ -59,8 +64,9 @@ class Moments:
 
 
 def gather_moments(df: DataFrame, label: str, vector: str) -> Moments:
-    """One pass: each partition adds up its rows, the driver adds at most one row a partition
-    and class (d x d numbers a partition), whatever the number of rows."""
+    """One pass over the rows: each partition adds up its own, and the sums of all partitions
+    are added element by element in Spark. What reaches the driver is classes x d and d x d
+    numbers, whatever the number of rows or partitions."""
 
     def part(batches):
         sums: dict[str, list] = {}
@@ -80,12 +86,20 @@ def gather_moments(df: DataFrame, label: str, vector: str) -> Moments:
             yield pd.DataFrame({"label": [name], "n": [n], "s": [s], "scatter": [full], "fourth": [fourth if i == 0 else 0.0]})
 
     rows = df.select(label, vector).mapInPandas(part, "label string, n bigint, s array<double>, scatter array<double>, fourth double")
-    merged = rows.groupBy("label").agg(F.sum("n").alias("n"), F.collect_list("s").alias("s")).orderBy("label").collect()
-    whole = rows.agg(F.collect_list(F.when(F.size("scatter") > 0, F.col("scatter"))).alias("m"), F.sum("fourth").alias("f")).first()
-    sums = np.array([np.sum(r["s"], axis=0) for r in merged])
-    d = sums.shape[1]
-    scatter = np.sum(np.array(whole["m"]), axis=0).reshape(d, d)
-    return Moments([r["label"] for r in merged], np.array([r["n"] for r in merged], dtype=float), sums, scatter, whole["f"])
+    rows = cut(rows)
+    counts = {r["label"]: float(r["n"]) for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    labels = sorted(counts)
+    place = {x: i for i, x in enumerate(labels)}
+    each = rows.select("label", F.posexplode("s").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x")).collect()
+    whole = rows.select(F.posexplode("scatter").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    d = int(round(len(whole) ** 0.5))
+    sums, scatter = np.zeros((len(labels), d)), np.zeros(d * d)
+    for r in each:
+        sums[place[r["label"]], r["i"]] = r["x"]
+    for r in whole:
+        scatter[r["i"]] = r["x"]
+    fourth = rows.agg(F.sum("fourth").alias("f")).first()["f"] or 0.0
+    return Moments(labels, np.array([counts[x] for x in labels]), sums, scatter.reshape(d, d), fourth)
 
 
 def _quadratic(vector: Column, means: np.ndarray, precision: np.ndarray) -> Column:
@@ -129,10 +143,10 @@ class Mahalanobis:
         return F.zip_with(F.col(self.vector), c, lambda x, y: x - y)
 
     def _centred(self, train: DataFrame, m: Moments) -> Moments:
-        out = F.lit(None).cast("array<double>")
-        for name, mean in zip(m.labels, m.means, strict=True):
-            out = F.when(F.col(self.label) == name, self._less(mean)).otherwise(out)
-        return gather_moments(train.select(F.lit("all").alias(self.label), out.alias(self.vector)), self.label, self.vector)
+        means = train.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(m.labels, m.means, strict=True)], "__class string, __mean array<double>")
+        both = train.join(F.broadcast(means), F.col(self.label) == F.col("__class"))
+        less = F.zip_with(F.col(self.vector), F.col("__mean"), lambda x, y: x - y)
+        return gather_moments(both.select(F.lit("all").alias(self.label), less.alias(self.vector)), self.label, self.vector)
 
     def score(self) -> Column:
         s = _quadratic(F.col(self.vector), self.means, self.precision)
@@ -194,6 +208,75 @@ def train_only(df: DataFrame) -> DataFrame:
     return rows
 
 
+def check_fit_rows(df: DataFrame) -> DataFrame:
+    """``df``, after a check that it holds known training rows only and at least one."""
+    bad = df.where(~F.coalesce((F.col("split") == "train") & (F.col("status") == "known"), F.lit(False)))
+    if not bad.isEmpty():
+        raise ValueError("rows to fit on must be known training rows")
+    return train_only(df)
+
+
+def nearest_class(train: DataFrame, rows: DataFrame, cosine: bool = False, scaled: bool = False) -> DataFrame:
+    """``rows`` with ``score``: distance to the nearest class mean, Euclidean, cosine or after scaling."""
+    if scaled:
+        rows, train = (centroids.standardized(x, train, "e", "e") for x in (rows, train))
+    if cosine:
+        means = centroids.class_means(train.withColumn("u", vec.l2_normalize(F.col("e"))), "label", "u")
+        return centroids.with_nearest(rows, means, "label", "e", "cosine").withColumn("score", F.col("nearest"))
+    return centroids.with_nearest(rows, centroids.class_means(train, "label", "e"), "label", "e").withColumn("score", F.col("nearest"))
+
+
+def neighbour_mean(train: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with ``score``: mean cosine distance to the k nearest training rows."""
+    near = nearest_neighbors(rows, train, "sample_id", "e", k).groupBy("id").agg(F.avg("distance").alias("score"))
+    return rows.join(near, F.col("sample_id") == F.col("id")).drop("id")
+
+
+def clipped_energy(train: DataFrame, rows: DataFrame, share: float) -> DataFrame:
+    """``rows`` with ``score``: energy of class-mean logits of the vector clipped at a quantile of all training activations.
+
+    The quantile is exact and comes from counts by value, ordered range by range.
+    """
+    counts = cut(train.select(F.explode("e").alias("x")).groupBy("x").agg(F.count("*").alias("n")))
+    cap = linear_quantiles(counts, [], "x", "n", {"c": share})
+    head = centroids.class_means(train, "label", "e").agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("h"))
+    both = rows.crossJoin(F.broadcast(cut(cap))).crossJoin(F.broadcast(cut(head)))
+    clipped = both.withColumn("__e", vec.clip_above(F.col("e"), F.col("c")))
+    z = F.transform("h", lambda h: vec.dot(F.col("__e"), h["mean"]) / F.size("__e"))
+    return clipped.withColumn("__z", z).withColumn("score", energy(F.col("__z"))).drop("h", "c", "__e", "__z")
+
+
+def _number(variant: str) -> float:
+    return float(variant.split("=")[-1].lstrip("p"))
+
+
+def fit_and_score(method: str, variant: str, train: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``score`` by a method of the matrix, fitted on ``train`` only; a foreign method raises.
+
+    Both frames have sample_id, label, status, split, e and z. A score that is not finite
+    raises where it is read.
+    """
+    z = F.col("z")
+    plain = {"msp": maximum_softmax, "entropy": predictive_entropy, "energy": lambda c: energy(c, _number(variant))}
+    if method in plain:
+        return finite_scores(rows.withColumn("score", plain[method](z)), "score")
+    check_fit_rows(train)
+    if method == "ncm":
+        out = nearest_class(train, rows, variant == "cosine", variant == "standardized")
+    elif method == "knn_cosine":
+        out = neighbour_mean(train, rows, int(_number(variant)))
+    elif method == "react":
+        out = clipped_energy(train, rows, _number(variant) / 100)
+    elif method == "vim":
+        out = rows.withColumn("score", SubspaceResidual("label", "e", "z", _number(variant)).fit(train).score())
+    elif method == "mahalanobis":
+        model = Mahalanobis("label", "e", shrink=variant != "pinv", relative=variant == "relative")
+        out = rows.withColumn("score", model.fit(train).score())
+    else:
+        raise ValueError(f"unknown method: {method}/{variant}")
+    return finite_scores(out, "score")
+
+
 REGISTRY = {
     "msp": lambda: maximum_softmax(F.col("z")), "entropy": lambda: predictive_entropy(F.col("z")), "energy": lambda: energy(F.col("z")),
     "mahalanobis": lambda: Mahalanobis("label", "e"), "mahalanobis_lw": lambda: Mahalanobis("label", "e", shrink=True),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.prefix import running_total
+from quillon.session import cut, small_side
 
 PIECE_DIGITS = 3
 
@@ -29,19 +31,22 @@ def stratified_split(df: DataFrame, key: str, stratum: str, known: Column, seed:
     sizes = df.where(known).groupBy(stratum).agg(F.count("*").alias("__n"))
     a, b = F.bround(F.col("__n") * train), F.bround(F.col("__n") * validation)
     split = F.when(F.col("__r") < a, "train").when(F.col("__r") < a + b, "validation").otherwise("test")
-    placed = ranked.join(F.broadcast(sizes), stratum).withColumn("split", split)
+    placed = ranked.join(small_side(sizes), stratum).withColumn("split", split)
     return placed.select(*df.columns, "split").unionByName(df.where(~known).withColumn("split", F.lit("test")))
 
 
 def group_split(df: DataFrame, group: str, seed: int = 13, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """(group, split): distinct groups cut at the rounded shares of the hash order; nulls and '' raise."""
+    """(group, split): distinct groups cut at the rounded shares of the hash order; nulls and '' raise.
+
+    Groups are ranked piece by piece of the hash range.
+    """
     check_sizes(train, validation, 1 - train - validation)
     checked = F.when(F.coalesce(F.trim(group), F.lit("")) == "", F.raise_error(F.lit("a group split needs a group on every row"))).otherwise(F.col(group))
-    groups = df.select(checked.alias(group)).distinct()
-    w = Window.partitionBy(F.lit(0))
-    ranked = groups.withColumn("__r", F.row_number().over(w.orderBy(order_key(seed, F.col(group)), group))).withColumn("__n", F.count("*").over(w))
+    groups = cut(df.select(checked.alias(group)).distinct().withColumn("__h", order_key(seed, F.col(group))))
+    pieces = groups.withColumn("__p", F.substring("__h", 1, PIECE_DIGITS))
+    ranked = running_total(pieces, [], "__p", ["__h", group], F.lit(1), "__r").crossJoin(F.broadcast(groups.agg(F.count("*").alias("__n"))))
     a, b = F.bround(F.col("__n") * train), F.bround(F.col("__n") * validation)
-    return ranked.select(group, F.when(F.col("__r") <= a, "train").when(F.col("__r") <= a + b, "validation").otherwise("test").alias("split"))
+    return ranked.select(group, F.when(F.col("__r") < a, "train").when(F.col("__r") < a + b, "validation").otherwise("test").alias("split"))
 
 
 def check_sizes(train: float, validation: float, test: float) -> None:
@@ -50,11 +55,15 @@ def check_sizes(train: float, validation: float, test: float) -> None:
 
 
 def per_class_sample(df: DataFrame, key: str, label: str, k: int, seed: int = 13) -> DataFrame:
-    """``df`` with ``available_n``: at most ``k`` rows of each class, first in the hash order."""
-    w = Window.partitionBy(label)
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(order_key(seed, F.col(key)), key)))
+    """``df`` with ``available_n``: at most ``k`` rows of each class, first in the hash order.
+
+    Ranks are taken piece by piece of the hash range, so a class of any size is spread over
+    many tasks. Rows without a class are left out.
+    """
+    hashed = df.where(F.col(label).isNotNull()).withColumn("__h", order_key(seed, F.col(key))).withColumn("__p", F.substring("__h", 1, PIECE_DIGITS))
+    ranked = running_total(hashed, [label], "__p", ["__h", key], F.lit(1), "__r")
     sizes = df.groupBy(label).agg(F.count("*").alias("available_n"))
-    return ranked.where(F.col("__r") <= k).drop("__r").join(F.broadcast(sizes), label)
+    return ranked.where(F.col("__r") < k).select(*df.columns).join(small_side(sizes), label)
 
 
 def balanced_fill(df: DataFrame, key: str, label: str, n: int, seed: int = 13) -> DataFrame:
@@ -76,9 +85,10 @@ def conservative_resplit(df: DataFrame, components: DataFrame, key: str, label:
     """(component, old splits, new split) for components found in several splits.
 
     The component takes the split that leaves the label counts nearest their targets (sum
-    of squares); ties go to the majority split, then by name. Components are handled one
-    after the other in the order of their name with the counts carried along, so the loop
-    runs on the driver, over label counts of conflicting components only, never over rows.
+    of squares, to six digits); ties go to the majority split, then by name. Components are
+    handled one after the other in the order of their name with the counts carried along,
+    so they stream, sorted, through one task that holds the counts by split and label and
+    one component's labels; rows never reach it, only counts of conflicting components.
     """
     check_sizes(train, validation, test)
     counts = {(r[0], r[1]): float(r[2]) for r in df.groupBy(split, label).count().collect()}
@@ -86,35 +96,42 @@ def conservative_resplit(df: DataFrame, components: DataFrame, key: str, label:
     sizes = {"train": train, "validation": validation, "test": test}
     total = {x: sum(v for (_, y), v in counts.items() if y == x) for x in labels}
     goal = {(s, x): total[x] * sizes[s] for s in sizes for x in labels}
-    now = {(s, x): counts.get((s, x), 0.0) for s in sizes for x in labels}
-    member = df.join(components, key)
-    per = member.groupBy("component", split, label).count()
-    bad = per.groupBy("component").agg(F.size(F.collect_set(split)).alias("k")).where("k > 1").select("component")
-    rows = per.join(bad, "component", "left_semi").orderBy("component", split, label).toLocalIterator()
-    out, current, held = [], None, []
-
-    def settle(name, held):
-        by_split, by_label = {}, {}
-        for s, x, c in held:
-            by_split[s] = by_split.get(s, 0) + c
-            by_label[x] = by_label.get(x, 0) + c
-            now[(s, x)] -= c
-        major = max(sorted(by_split), key=lambda s: by_split[s])
-
-        def cost(s):
-            return sum((now[(t, x)] + (by_label.get(x, 0) if t == s else 0) - goal[(t, x)]) ** 2 for t in sizes for x in labels)
-
-        best = min(sizes, key=lambda s: (cost(s), s != major, s))
-        for x, c in by_label.items():
-            now[(best, x)] += c
-        out.append((name, ",".join(sorted(by_split)), best))
-
-    for r in rows:
-        if r["component"] != current and held:
-            settle(current, held)
-            held = []
-        current = r["component"]
-        held.append((r[split], r[label], r["count"]))
-    if held:
-        settle(current, held)
-    return df.sparkSession.createDataFrame(out, "component string, old_splits string, new_split string")
+    start = {(s, x): counts.get((s, x), 0.0) for s in sizes for x in labels}
+    per = cut(df.join(components, key).groupBy("component", split, label).agg(F.count("*").alias("n")))
+    bad = per.groupBy("component").agg(F.min(split).alias("a"), F.max(split).alias("b")).where("a != b").select("component")
+    rows = per.join(bad, "component", "left_semi").select("component", F.col(split).alias("s"), F.col(label).alias("x"), "n")
+
+    def settle_all(batches):
+        now = dict(start)
+
+        def settle(name, held):
+            by_split, by_label = {}, {}
+            for s, x, c in held:
+                by_split[s] = by_split.get(s, 0) + c
+                by_label[x] = by_label.get(x, 0) + c
+                now[(s, x)] -= c
+            major = max(sorted(by_split), key=lambda s: by_split[s])
+
+            def cost(s):
+                return round(sum((now[(t, x)] + (by_label.get(x, 0) if t == s else 0) - goal[(t, x)]) ** 2 for t in sizes for x in labels), 6)
+
+            best = min(sizes, key=lambda s: (cost(s), s != major, s))
+            for x, c in by_label.items():
+                now[(best, x)] += c
+            return name, ",".join(sorted(by_split)), best
+
+        current, held = None, []
+        for pdf in batches:
+            out = []
+            for name, s, x, n in pdf.itertuples(index=False):
+                if name != current and held:
+                    out.append(settle(current, held))
+                    held = []
+                current = name
+                held.append((s, x, n))
+            yield pd.DataFrame(out, columns=["component", "old_splits", "new_split"])
+        if held:
+            yield pd.DataFrame([settle(current, held)], columns=["component", "old_splits", "new_split"])
+
+    ordered = rows.repartition(1).sortWithinPartitions("component", "s", "x")
+    return ordered.mapInPandas(settle_all, "component string, old_splits string, new_split string")

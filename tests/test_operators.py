@@ -192,10 +192,27 @@ def test_runs(spark):
     assert [tuple(r) for r in runs.matched_deltas(m, ["s"], "side", "a", "b", "v").collect()] == [(1, 1.0, 3.0, 2.0)]
 
 
-def test_bootstrap_helpers():
-    y, s, w = np.array([0, 0, 1, 1]), np.array([0.1, 0.5, 0.5, 0.9]), np.ones(4, dtype=int)
-    assert resample.auroc_of(y, s, w) == 0.875
-    assert math.isnan(resample.auroc_of(y[:2], s[:2], w[:2]))
+def test_replicates_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), int(rng.random() < 0.3), float(round(rng.normal(), 1))) for i in range(700)] + [(900, 1, float("nan")), (901, None, 1.0), (902, 0, None)]
+    got = resample.replicated_metrics(spark.createDataFrame(rows, "id long, y int, s double").repartition(3), 8, 5)
+    ids, y, s = (np.array(c) for c in zip(*rows[:700], strict=True))
+    weights = resample.poisson_weights(ids, 8, 5)
+    for r in range(8):
+        w = weights[:, r]
+        pos, neg = np.repeat(s[y == 1], w[y == 1]), np.repeat(s[y == 0], w[y == 0])
+        won = (pos[:, None] > neg[None, :]).sum() + (pos[:, None] == neg[None, :]).sum() / 2
+        assert got["auroc"][r] == pytest.approx(won / (len(pos) * len(neg)))
+        assert got["fpr95"][r] == pytest.approx((neg > np.quantile(pos, 1 - 0.95)).mean())
+    many = resample.poisson_weights(np.arange(20_000), 10, 1)
+    assert abs(many.mean() - 1) < 0.02 and abs(many.var() - 1) < 0.03 and len({tuple(c) for c in many.T[:, :50]}) == 10
+    one = spark.createDataFrame([(1, 0.2), (1, 0.4)], "y int, s double")
+    assert [(r["estimate"], r["n_replicates"]) for r in resample.bootstrap_open(one, 5).collect()] == [(None, 0), (None, 0)]
+    same = spark.createDataFrame([(i % 2, i / 9, i / 9) for i in range(9)], "y int, a double, b double")
+    assert {(r["estimate"], r["lower"], r["upper"]) for r in resample.bootstrap_delta(same, 5).collect()} == {(0.0, 0.0, 0.0)}
+    f1 = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", None), (None, "a")], "truth string, given string")
+    assert resample.bootstrap_macro_f1(f1, 20).first()["estimate"] == pytest.approx((2 / 3 + 2 / 4) / 2)
+    assert resample.bootstrap_macro_f1(f1.limit(0)).first()["estimate"] is None
 
 
 def test_centroids(spark):
