@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.operators import boxes, diagrams, homology, metrics, splits
-from quillon.plans.evaluation import PREDICTED, SCORED, predictions
+from quillon.operators import boxes, diagrams, homology, metrics, near_duplicates, splits
+from quillon.plans.evaluation import PREDICTED, SCORED, predictions, scored
 from quillon.plans.manifest import EVIDENCE, M, evidence, manifest
 from quillon.plans.registry import collector
 from quillon.plans.sqltext import ARCHIVE
-from quillon.plans.studies import BARS, _G, _boxes, _grid, bars
+from quillon.plans.studies import BARS, _boxes, bars, grid_sql
 from quillon.plans.views import archive, class_clouds
 from quillon.session import cut
 
@@ -41,13 +41,12 @@ def manifest_audit(spark, d):
     return out.select("item", "n", (~F.col("item").isin("rows", "missing_split", "missing_checksum") & (F.col("n") > 0)).alias("is_error"))
 
 
-@query(f"""with {EVIDENCE}, r as (select key_a, key_b, level, bits, crosses, row_number() over (order by crosses desc, case level when 'exact' then 0 when 'very_high' then 1 when 'high' then 2 else 3 end, bits, key_a, key_b) as place from ev)
-select * from r where place <= 100""")
+@query(f"""with {EVIDENCE}, r2 as (select key_a, key_b, level, bits, crosses, row_number() over (order by case level when 'confirmed' then 0 when 'probable_level1' then 1 when 'probable_level2' then 2 else 3 end, bits, same desc, similarity desc, correlation desc, key_a, key_b) as place from ev)
+select * from r2 where place <= 100""")
 def suspicious_pairs(spark, d):
-    """The hundred near-duplicate pairs most worth a look: across splits, strong evidence, few bits."""
-    rank = F.when(F.col("level") == "exact", 0).when(F.col("level") == "very_high", 1).when(F.col("level") == "high", 2).otherwise(3)
-    order = [F.desc("crosses"), rank, F.col("bits"), F.col("key_a"), F.col("key_b")]
-    top = evidence(spark, d).orderBy(*order).limit(100)
+    """The hundred near-duplicate pairs most worth a look: strong evidence, few bits, like fields."""
+    order = [F.desc("rank"), F.col("bits"), F.desc("same"), F.desc("similarity"), F.desc("correlation"), F.col("key_a"), F.col("key_b")]
+    top = evidence(spark, d)[1].withColumn("rank", near_duplicates.strength(F.col("level"))).orderBy(*order).limit(100)
     return top.select("key_a", "key_b", "level", "bits", "crosses", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("place"))
 
 
@@ -89,8 +88,9 @@ select score as threshold, round(tp / k, 9) as precision, round(tp / np, 9) as r
 def best_f1_threshold(spark, d):
     """The score threshold of the best F1 for finding unknown rows, by the larger recall on a tie."""
     c = metrics.score_counts(predictions(spark, d), [], F.col("truth") == "UNKNOWN", F.col("score"))
-    w, every = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
-    r = c.select("score", F.sum("pos").over(w).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(w).alias("k"), F.sum("pos").over(every).alias("np")).where("np > 0")
+    run = metrics.falling(c, [], {"pos": "p", "neg": "n"}).crossJoin(F.broadcast(c.agg(F.sum("pos").alias("np"))))
+    tp = F.col("p") + F.col("pos")
+    r = run.select("score", tp.alias("tp"), (tp + F.col("n") + F.col("neg")).alias("k"), "np").where("np > 0")
     f1 = 2 * F.col("tp") / (F.col("k") + F.col("np"))
     return r.orderBy(F.desc(F.round(f1, 12)), F.desc("tp"), "score").limit(1).select(
         F.col("score").alias("threshold"), F.round(F.col("tp") / F.col("k"), 9).alias("precision"), F.round(F.col("tp") / F.col("np"), 9).alias("recall"), F.round(f1, 9).alias("f1")
@@ -102,22 +102,20 @@ def detection_map(spark, d):
     """Average precision at overlaps 0.50 to 0.95 in steps of 0.05, and their mean in the last row."""
     b = cut(_boxes(spark, d))
     g, f = b.select("image_id", "gt_id", "truth.*"), b.select("image_id", F.col("gt_id").alias("detection_id"), "confidence", "found.*")
-    out = None
-    for k in range(10):
-        bound = round(0.5 + 0.05 * k, 2)
-        ap = boxes.average_precision(boxes.match_boxes(f, g, bound), []).select(F.lit(bound).alias("overlap"), "ap")
-        out = ap if out is None else out.unionByName(ap)
-    out = cut(out)
+    bounds = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+    out = cut(boxes.average_precision(boxes.match_boxes(f, g, bounds), ["bound"]).select(F.col("bound").alias("overlap"), "ap"))
     mean = out.agg(F.avg("ap").alias("ap")).select(F.lit(None).cast("double").alias("overlap"), "ap")
     return out.unionByName(mean).select("overlap", F.round("ap", 6).alias("ap"))
 
 
-@query(f"""with {BARS}, c as (select user_id % 2 as half, list_transform({_G}, lambda t: len(list_filter(b, lambda x: x.birth <= t and t < x.death))) as v from bars),
-e as (select half, unnest(v) as y, unnest(range(0, 16)) as i from c), a as (select half, i, avg(y) as y from e group by 1, 2), p as (select x.i, x.y - z.y as g from a x join a z on x.i = z.i and x.half = 0 and z.half = 1)
+@query(f"""with {BARS}, {grid_sql('gr', 201)}, c as (select user_id % 2 as half, list_transform(g, lambda t: len(list_filter(b, lambda x: x.birth <= t and t < x.death))) as v from fin, gr),
+e as (select half, unnest(v) as y, unnest(range(0, 201)) as i from c), a as (select half, i, avg(y) as y from e group by 1, 2), p as (select x.i, x.y - z.y as g from a x join a z on x.i = z.i and x.half = 0 and z.half = 1)
 select round(sqrt(sum(g * g)), 7) as l2, round(avg(abs(g)), 7) as mean_abs, round(max(abs(g)), 7) as max_abs from p""")
 def betti_distance(spark, d):
-    """Distance between the mean Betti curves of two halves of the users."""
-    c = bars(spark, d).select((F.col("user_id") % 2).alias("half"), F.posexplode(diagrams.betti_curve(F.col("b"), _grid())).alias("i", "y"))
+    """Distance between the mean Betti curves of two halves of the users at 201 points over all bars, essential bars alive."""
+    b = cut(bars(spark, d))
+    both = b.crossJoin(F.broadcast(diagrams.fitted_grid(b, "b", 201)))
+    c = both.select((F.col("user_id") % 2).alias("half"), F.posexplode(diagrams.betti_curve(F.col("b"), F.col("grid"))).alias("i", "y"))
     p = c.groupBy("i").pivot("half", [0, 1]).agg(F.avg("y")).select((F.col("0") - F.col("1")).alias("g"))
     return p.agg(F.round(F.sqrt(F.sum(F.col("g") * F.col("g"))), 7).alias("l2"), F.round(F.avg(F.abs("g")), 7).alias("mean_abs"), F.round(F.max(F.abs("g")), 7).alias("max_abs"))
 
@@ -143,11 +141,18 @@ def field_persistence_summary(spark, d):
     return cut(b).select("sample_id", n(0).alias("n_components"), n(1).alias("n_holes"))
 
 
+@query(f"with {ARCHIVE} select sample_id, (list_min(e) < 0 or list_max(e) > 1)::int as failed, case when list_min(e) < 0 or list_max(e) > 1 then 'values outside 0 to 1' end as error from archive")
+def field_diagram_errors(spark, d):
+    """Superlevel diagrams of fields that must lie within 0 to 1: which samples fail, and why."""
+    rows = F.array(*[F.slice("e", 12 * i + 1, 12) for i in range(8)])
+    got = archive(spark, d).select("sample_id", homology.field_diagrams(rows, superlevel=True, unit=True).alias("g"))
+    return got.select("sample_id", F.col("g.error").isNotNull().cast("int").alias("failed"), F.col("g.error").alias("error"))
+
+
 @query(f"""with {ARCHIVE}, {SCORED} select split, status, count(*) as n, round(avg(score), 8) as mean, round(stddev_samp(score), 8) as sd, round(min(score), 8) as least, round(quantile_cont(score, 0.25), 8) as q25, round(median(score), 8) as q50, round(quantile_cont(score, 0.75), 8) as q75, round(max(score), 8) as most from scored group by all""")
 def score_description(spark, d):
-    from quillon.plans.evaluation import scored
-
-    q = lambda p, n: F.round(F.percentile("score", F.lit(p)), 8).alias(n)
-    return scored(spark, d).groupBy("split", "status").agg(
-        F.count("*").alias("n"), F.round(F.avg("score"), 8).alias("mean"), F.round(F.stddev_samp("score"), 8).alias("sd"), F.round(F.min("score"), 8).alias("least"), q(0.25, "q25"), q(0.5, "q50"), q(0.75, "q75"), F.round(F.max("score"), 8).alias("most")
-    )
+    s = cut(scored(spark, d).select("split", "status", "score"))
+    by = ["split", "status"]
+    rest = s.groupBy(*by).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.min("score").alias("least"), F.max("score").alias("most"))
+    out = rest.join(metrics.quantiles(s, by, "score", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), by)
+    return out.select(*by, "n", *[F.round(c, 8).alias(c) for c in ("mean", "sd", "least", "q25", "q50", "q75", "most")])

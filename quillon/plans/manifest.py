@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import vec
 from quillon.functions.bits import hash64
 from quillon.functions.text import normalize_label, split_name, strip, trim_lower
-from quillon.operators import groups, hashjoin, splits
+from quillon.operators import hashjoin, near_duplicates, splits
 from quillon.plans.registry import collector
-from quillon.plans.sqltext import n, split, t
+from quillon.plans.sqltext import ARCHIVE, n, split, t
+from quillon.plans.views import archive
+from quillon.session import cut, small_side
 from quillon.sources.tables import table
 
 QUERIES, ORACLES, query = collector()
@@ -55,7 +58,7 @@ def normalized_labels(spark, d):
 @query(f"with {M}, {ALIAS} select sample_id, coalesce(c, label) as canonical, coalesce(coalesce(c, label) in ('basophil', 'eosinophil', 'lymphocyte', 'monocyte', 'neutrophil_segmented'), false) as known from m left join al on label = a")
 def canonical_labels(spark, d):
     alias = table(spark, d, "label_alias").groupBy(normalize_label(F.col("alias")).alias("a")).agg(F.min(normalize_label(F.col("canonical_label"))).alias("c"))
-    m = manifest(spark, d).join(F.broadcast(alias), F.col("label") == F.col("a"), "left").withColumn("canonical", F.coalesce("c", "label"))
+    m = manifest(spark, d).join(small_side(alias), F.col("label") == F.col("a"), "left").withColumn("canonical", F.coalesce("c", "label"))
     return m.select("sample_id", "canonical", F.coalesce(F.col("canonical").isin("basophil", "eosinophil", "lymphocyte", "monocyte", "neutrophil_segmented"), F.lit(False)).alias("known"))
 
 
@@ -132,7 +135,7 @@ def duplicate_counts(spark, d):
 def labels_outside_taxonomy(spark, d):
     al, tg = table(spark, d, "label_alias"), table(spark, d, "sampling_target")
     names = al.select(normalize_label(F.col("alias")).alias("label")).union(al.select(normalize_label(F.col("canonical_label")))).union(tg.select(normalize_label(F.col("canonical_label"))))
-    return manifest(spark, d).where("label != ''").select("label").distinct().join(F.broadcast(names.distinct()), "label", "left_anti")
+    return manifest(spark, d).where("label != ''").select("label").distinct().join(small_side(names.distinct()), "label", "left_anti")
 
 
 _PARTS = ", ".join(f"sum(('0x' || substr(h, {i}, 15))::bigint)::varchar" for i in (1, 16, 31, 46))
@@ -174,39 +177,93 @@ def equal_hash_pairs(spark, d):
     return i.select(F.col("id").alias("key_a"), "h").join(i.select(F.col("id").alias("key_b"), "h"), "h").where("key_a < key_b").select("key_a", "key_b")
 
 
-EVIDENCE = f"""{HASHED}, p as (select a.id as key_a, b.id as key_b, hamming(a.h, b.h) as bits, coalesce(a.sha = b.sha, false) as same, a.split is distinct from b.split as crosses from img a join img b on a.id < b.id and hamming(a.h, b.h) <= 4),
-ev as (select *, case when same then 'exact' when bits = 0 then 'very_high' when bits <= 1 then 'high' else 'possible' end as level from p)"""
+# A sample's field is its vector scaled to 0..1; its hash has a bit a cell of the field resized from 96 to 64 values.
+POOLED = "flatten(list_transform(range(0, 32), lambda t: [(2 * e[3 * t + 1] + e[3 * t + 2]) / 3, (e[3 * t + 2] + 2 * e[3 * t + 3]) / 3]))"
+FIELDS = f"""{ARCHIVE}, {ONE}, first as (select * from (select *, row_number() over (partition by sample_id order by label, status, split, e) as rn from archive) where rn = 1),
+fields as (select f.sample_id as id, f.label, f.status, f.split, nullif(one.checksum, '') as checksum, list_transform(e, lambda x: (x - list_min(e)) / greatest(list_max(e) - list_min(e), 1e-12)) as field,
+  {POOLED} as cells from first f left join one using (sample_id)),
+hashed as (select *, array_to_string(list_transform(cells, lambda x: case when x >= list_avg(cells) then '1' else '0' end), '') as h from fields)"""
+
+
+def pooled(e: Column) -> Column:
+    """96 values resized to 64: each three become two by their overlap."""
+    at = lambda t, k: F.get(e, 3 * t + k)
+    pair = lambda t: F.array((2 * at(t, 0) + at(t, 1)) / 3, (at(t, 1) + 2 * at(t, 2)) / 3)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), pair))
+
+
+def fields(spark, d):
+    """(id, label, status, split, checksum, field, h) of the usable samples of the archive, each once."""
+    first = archive(spark, d).groupBy("sample_id").agg(F.min(F.struct("label", "status", "split", "e")).alias("r")).select(F.col("sample_id").alias("id"), "r.*")
+    sums = samples(spark, d).select(F.col("sample_id").alias("id"), F.when(F.col("checksum") != "", F.col("checksum")).alias("checksum"))
+    scaled = vec.let(F.array_min("e"), lambda lo: vec.let(F.greatest(F.array_max("e") - lo, F.lit(1e-12)), lambda w: F.transform("e", lambda x: (x - lo) / w)))
+    return cut(first.join(sums, "id", "left").select("id", "label", "status", "split", "checksum", scaled.alias("field"), hash64(vec.average_hash(pooled(F.col("e")))).alias("h")))
+
+
+@query(f"with {FIELDS} select id as sample_id, h as bits from hashed")
+def average_hash_bits(spark, d):
+    """64-bit average hash of every sample's vector, resized to 64 cells, as binary digits."""
+    f = fields(spark, d)
+    digits = F.lpad(F.conv(F.hex("h"), 16, 2), 64, "0")
+    return f.select(F.col("id").alias("sample_id"), digits.alias("bits"))
+
+
+EVIDENCE = f"""{FIELDS}, p as (select a.id as key_a, b.id as key_b, hamming(a.h, b.h)::int as bits, coalesce(a.checksum = b.checksum, false) as same, a.split is distinct from b.split as crosses, a.field as x, b.field as y
+  from hashed a join hashed b on a.id < b.id and hamming(a.h, b.h) <= 4),
+q as (select *, list_avg(x) as mx, list_avg(y) as my from p),
+r as (select *, list_avg(list_transform(x, lambda v: (v - mx) ** 2)) as vx, list_avg(list_transform(y, lambda v: (v - my) ** 2)) as vy, list_avg(list_transform(list_zip(x, y), lambda v: (v[1] - mx) * (v[2] - my))) as c from q),
+m2 as (select *, round((2 * mx * my + 1e-4) * (2 * c + 9e-4) / ((mx * mx + my * my + 1e-4) * (vx + vy + 9e-4)), 9) as similarity, round(case when vx * vy > 0 then c / sqrt(vx * vy) else (vx = vy and mx = my)::double end, 9) as correlation from r),
+ev as (select *, case when same then 'confirmed' when bits <= 1 and similarity >= 0.985 and correlation >= 0.985 then 'probable_level1' when bits <= 4 and similarity >= 0.95 and correlation >= 0.95 then 'probable_level2' else 'candidate_level3' end as level from m2)"""
 
 
 def evidence(spark, d):
-    i = images(spark, d)
-    pairs = hashjoin.hamming_pairs(i, "id", "h", 4)
-    side = lambda k: i.select(F.col("id").alias(f"key_{k}"), F.col("sha").alias(f"sha_{k}"), F.col("split").alias(f"split_{k}"))
-    p = pairs.join(side("a"), "key_a").join(side("b"), "key_b").withColumn("same", F.coalesce(F.col("sha_a") == F.col("sha_b"), F.lit(False)))
-    level = F.when(F.col("same"), "exact").when(F.col("hamming") == 0, "very_high").when(F.col("hamming") <= 1, "high").otherwise("possible")
-    return p.select("key_a", "key_b", F.col("hamming").alias("bits"), (~F.col("split_a").eqNullSafe(F.col("split_b"))).alias("crosses"), level.alias("level"))
+    f = fields(spark, d)
+    pairs = near_duplicates.candidate_pairs(f)
+    side = lambda k: f.select(F.col("id").alias(f"key_{k}"), F.col("split").alias(f"split_{k}"))
+    p = cut(pairs.join(side("a"), "key_a").join(side("b"), "key_b").withColumn("crosses", ~F.col("split_a").eqNullSafe(F.col("split_b"))).drop("split_a", "split_b"))
+    return f, p
 
 
-@query(f"with {EVIDENCE} select key_a, key_b, bits, crosses, level from ev")
+@query(f"with {EVIDENCE} select key_a, key_b, bits, same, round(similarity, 7) as similarity, round(correlation, 7) as correlation, crosses, level from ev")
 def near_duplicate_evidence(spark, d):
-    return evidence(spark, d)
+    """Samples whose hashes differ in at most four bits, with what their checksums and fields say."""
+    return evidence(spark, d)[1].select("key_a", "key_b", "bits", "same", F.round("similarity", 7).alias("similarity"), F.round("correlation", 7).alias("correlation"), "crosses", "level")
 
 
-@query(f"""with recursive {EVIDENCE}, e as (select key_a as a, key_b as b from ev union select key_b, key_a from ev),
-reach(id, o) as (select a, a from e union select reach.id, e.b from reach join e on reach.o = e.a), c as (select id, min(o) as component from reach group by 1),
-s as (select component, count(*) as k, row_number() over (order by count(*) desc, component) - 1 as i from c group by 1)
-select 'ndc_' || lpad(i::varchar, 6, '0') as component_id, id as node, k as component_size from c join s using (component)""")
-def near_duplicate_components(spark, d):
-    e = evidence(spark, d).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    return groups.numbered(groups.star_components(e))
+COMPONENTS = f"""{EVIDENCE}, link as (select key_a as a, key_b as b, case level when 'confirmed' then 3 else 2 end as s from ev where level in ('confirmed', 'probable_level1')),
+e2 as (select a, b, s from link union select b, a, s from link),
+label(node, low) using key (node) as (select id, id from hashed union select e2.a, min(l.low) from e2 join label l on l.node = e2.b join recurring.label own on own.node = e2.a group by e2.a, own.low having min(l.low) < own.low),
+size as (select low, count(*) as k, row_number() over (order by count(*) desc, low) - 1 as i from label group by 1),
+comp as (select 'ndc_' || lpad(i::varchar, 6, '0') as component_id, node, k as component_size, coalesce((select max(s) from e2 where a = node), 0)::int as evidence_strength from label join size using (low))"""
 
 
-@query()
+@query(f"with recursive {COMPONENTS} select * from comp")
+def near_duplicate_components(spark, d):
+    """Groups of samples that confirmed or probable duplicates of the first level link, singles included."""
+    f, p = evidence(spark, d)
+    return near_duplicates.duplicate_components(f, p)
+
+
+@query(f"""with recursive {COMPONENTS}, mem as (select component_id, label, split from comp join hashed on id = node where status = 'known' and component_size > 1),
+names as (select list(distinct label order by label) as ls from hashed where status = 'known'), sp as (select unnest(['train', 'validation', 'test']) as s, unnest([0.7, 0.15, 0.15]) as share, unnest([0, 1, 2]) as si),
+slot as (select si, s, share, unnest(ls) as l, unnest(range(1, len(ls) + 1)) as li, len(ls) as nl from sp, names),
+init as (select list(coalesce(n, 0)::double order by si, li) as st, list(coalesce(t, 0) * share order by si, li) as goal, any_value(nl) as nl from slot
+  left join (select label, split, count(*) as n from hashed where status = 'known' group by 1, 2) c on c.label = l and c.split = s left join (select label, count(*) as t from hashed where status = 'known' group by 1) k on k.label = l),
+bad as (select component_id, string_agg(distinct split, ',' order by split) as old, row_number() over (order by component_id) as i from mem group by 1 having count(distinct split) > 1),
+minus as (select i, list(coalesce(n, 0)::double order by si, li) as minus from bad cross join slot left join (select component_id, label, split, count(*) as n from mem group by all) c on c.component_id = bad.component_id and c.label = l and c.split = s group by 1),
+plus as (select i, list(coalesce(n, 0)::double order by si, li) as plus from bad cross join slot left join (select component_id, label, count(*) as n from mem group by all) c on c.component_id = bad.component_id and c.label = l group by 1),
+major as (select i, arg_max(split, {{'n': n, 'b': -rank}}) as major from (select i, split, count(*) as n, case split when 'test' then 0 when 'train' then 1 else 2 end as rank from mem join bad using (component_id) group by all) group by 1),
+run(i, st, best) as (select 0::bigint, st, null::varchar from init union all
+  select n.i, list_transform(range(1, 3 * nl + 1), lambda j: free[j] + case when (j - 1) // nl = list_position(['train', 'validation', 'test'], pick) - 1 then plus[j] else 0 end), pick from (
+    select *, (select arg_min(o.s, {{'c': round(list_sum(list_transform(range(1, 3 * nl + 1), lambda j: (free[j] + case when (j - 1) // nl = o.si then plus[j] else 0 end - goal[j]) ** 2)), 6), 'm': o.s != major, 's': o.s}}) from sp o) as pick from (
+      select run.i + 1 as i, list_transform(range(1, 3 * nl + 1), lambda j: st[j] - minus[j]) as free, plus, goal, nl, major
+      from run join minus on minus.i = run.i + 1 join plus on plus.i = run.i + 1 join major on major.i = run.i + 1, init q(_, goal, nl))) n)
+select component_id as component, old as old_splits, best as new_split from run join bad using (i)""")
 def conservative_split(spark, d):
-    """New splits of near-duplicate components that the present splits tear apart."""
-    c = groups.star_components(evidence(spark, d).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))).withColumnRenamed("node", "id")
-    i = images(spark, d).where("split is not null").select("id", "split", F.split_part("id", F.lit("/"), F.lit(1)).alias("label"))
-    return splits.conservative_resplit(i, c, "id", "label", "split")
+    """New splits of the near-duplicate components of known samples that the present splits tear apart."""
+    f, p = evidence(spark, d)
+    c = near_duplicates.duplicate_components(f, p).where("component_size > 1").select(F.col("node").alias("id"), F.col("component_id").alias("component"))
+    return splits.conservative_resplit(f.where("status = 'known'").select("id", "label", "split"), c, "id", "label", "split")
 
 
 @query(f"""with {ONE}, k as (select *, row_number() over (partition by label order by sha256('13:' || sample_id), sample_id) as r, count(*) over (partition by label) as c from one where status in ('known', 'unknown') and label != '')

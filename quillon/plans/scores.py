@@ -12,6 +12,7 @@ from quillon.operators import centroids, metrics, scorers
 from quillon.operators.neighbors import nearest_neighbors
 from quillon.plans.sqltext import ARCHIVE
 from quillon.plans.views import archive
+from quillon.session import cut
 
 # The similarity with a zero vector is 0, where the function gives NaN.
 _COSINE = re.compile(r"list_cosine_similarity\(([\w.]+), ([\w.]+)\)")
@@ -130,27 +131,8 @@ h as (select sample_id, list(list_sum(list_transform(list_zip(e, m), lambda p: p
 select sample_id, round(-({LSE}), 8) as score from h""")
 def score_react(spark, d):
     a = archive(spark, d)
-    train = scorers.train_only(a)
-    cap = train.select(F.explode("e").alias("x")).agg(F.percentile("x", F.lit(0.9)).alias("c"))
-    head = _means(a).agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("h"))
-    one = a.where("split != 'train'").crossJoin(F.broadcast(cap)).crossJoin(F.broadcast(head))
-    clipped = one.withColumn("e", vec.clip_above(F.col("e"), F.col("c")))
-    z = F.transform("h", lambda h: vec.dot(F.col("e"), h["mean"]) / 96)
-    return clipped.withColumn("z", z).select("sample_id", F.round(scorers.energy(F.col("z")), 8).alias("score"))
-
-
-def _fitted(name):
-    def run(spark, d):
-        a = archive(spark, d)
-        s = scorers.create_scorer(name).fit(scorers.train_only(a))
-        return a.where("split != 'train'").select("sample_id", F.round(s.score(), 6).alias("score"))
-
-    run.__name__ = f"score_{name}"
-    return run
-
-
-for _name in ("mahalanobis", "mahalanobis_lw", "relative_mahalanobis", "vim"):
-    query()(_fitted(_name))
+    score = scorers.clipped_energy(scorers.train_only(a), a.where("split != 'train'"), 0.9)
+    return score.select("sample_id", F.round("score", 8).alias("score"))
 
 
 @query(f"""with {ARCHIVE}, {MEANS} select a.label as label_a, b.label as label_b,
@@ -221,10 +203,11 @@ def unknown_geometry(spark, d):
     u = a.where("split = 'test' and status = 'unknown'")
     near = centroids.with_nearest(u, _means(a), "label", "e")
     knn = nearest_neighbors(u, scorers.train_only(a), "sample_id", "e", 10).groupBy(F.col("id").alias("sample_id")).agg(F.avg("distance").alias("knn"))
-    return near.join(knn, "sample_id").groupBy("label").agg(
-        F.count("*").alias("n"), F.round(F.avg("nearest"), 6).alias("mean_nearest"), F.round(F.percentile("margin", F.lit(0.5)), 6).alias("median_margin"),
-        F.round(F.avg("knn"), 8).alias("mean_knn"), F.round(F.percentile("knn", F.lit(0.5)), 8).alias("median_knn"),
-    )
+    both = cut(near.join(knn, "sample_id").select("label", "nearest", "margin", "knn"))
+    out = both.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("nearest"), 6).alias("mean_nearest"), F.round(F.avg("knn"), 8).alias("mean_knn"))
+    for c, digits in (("margin", 6), ("knn", 8)):
+        out = out.join(metrics.medians(both, ["label"], c, "m").select("label", F.round("m", digits).alias(f"median_{c}")), "label")
+    return out
 
 
 @query(f"""with {ARCHIVE}, p as (select a.sample_id, a.e as x, b.e as y from archive a join archive b on a.label = b.label and a.split = 'test' and b.split = 'validation' and a.status = 'known' and b.status = 'known'),
@@ -239,10 +222,3 @@ def field_similarity(spark, d):
     return both.groupBy("sample_id").agg(
         F.round(F.max(vec.structural_similarity(F.col("e"), F.col("o"))), 7).alias("best_similarity"), F.round(F.max(vec.normalized_correlation(F.col("e"), F.col("o"))), 7).alias("best_correlation")
     )
-
-
-@query(f"""with {ARCHIVE}, s as (select sample_id, e[1:64] as f from archive)
-select sample_id, array_to_string(list_transform(f, lambda x: case when x >= list_avg(f) then '1' else '0' end), '') as bits from s""")
-def average_hash_bits(spark, d):
-    f = F.slice("e", 1, 64)
-    return archive(spark, d).select("sample_id", vec.average_hash(f).alias("bits"))
