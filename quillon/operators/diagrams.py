@@ -6,9 +6,11 @@ at or after birth; other bars are left out of everything that needs a length.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -41,6 +43,17 @@ def betti_curve(bars: Column, grid: Column) -> Column:
     return F.transform(grid, lambda t: F.size(F.filter(bars, lambda b: (b["birth"] <= t) & (t < b["death"]))))
 
 
+def fitted_grid(df: DataFrame, bars: str, points: int = 16) -> DataFrame:
+    """One row (grid): ``points`` even steps from the least to the largest end of the finite bars of ``df``.
+
+    The ends are two aggregates; without bars the grid spans 0 to 1, and a grid of no width gets width 1.
+    """
+    ends = df.select(F.explode(finite_bars(F.col(bars))).alias("x")).agg(F.coalesce(F.min("x.birth"), F.lit(0.0)).alias("lo"), F.coalesce(F.max("x.death"), F.lit(1.0)).alias("hi"))
+    wide = ends.withColumn("hi", F.when(F.col("hi") - F.col("lo") < 1e-12, F.col("lo") + 1.0).otherwise(F.col("hi")))
+    steps = F.sequence(F.lit(0), F.lit(points - 1))
+    return wide.select(F.transform(steps, lambda i: F.col("lo") + i * ((F.col("hi") - F.col("lo")) / (points - 1))).alias("grid"))
+
+
 def landscape(bars: Column, grid: Column, levels: int = 3) -> Column:
     """The ``levels`` highest tents at each grid point, level by level, padded with zeros."""
     tent = lambda b, t: F.greatest(F.lit(0.0), F.least(t - b["birth"], b["death"] - t))
@@ -53,18 +66,53 @@ def landscape(bars: Column, grid: Column, levels: int = 3) -> Column:
     return F.flatten(F.array(*[level(k) for k in range(levels)]))
 
 
-def weighted_histogram(bars: Column, low: Column, high: Column, tall: Column, size: int = 8) -> Column:
+def weighted_histogram(bars: Column, low: Column, high: Column, tall: Column, size: int = 8, short: Column | None = None) -> Column:
     """Sums of length over ``size`` x ``size`` cells of (birth, length), row by birth.
 
     Cells are half-open, the last of each axis closed; bars outside the bounds are dropped.
     """
     cell = lambda x, lo, hi: F.when((x < lo) | (x > hi) | (hi <= lo), -1).otherwise(F.least(F.floor((x - lo) / (hi - lo) * size), F.lit(size - 1)))
-    placed = F.transform(finite_bars(bars), lambda b: F.struct(cell(b["birth"], low, high).alias("i"), cell(b["death"] - b["birth"], F.lit(0.0), tall).alias("j"), (b["death"] - b["birth"]).alias("w")))
+    placed = F.transform(finite_bars(bars), lambda b: F.struct(cell(b["birth"], low, high).alias("i"), cell(b["death"] - b["birth"], F.lit(0.0) if short is None else short, tall).alias("j"), (b["death"] - b["birth"]).alias("w")))
     cells = F.array(*[F.lit(k) for k in range(size * size)])
     here = lambda p, k: (p["i"] >= 0) & (p["j"] >= 0) & (p["i"] * size + p["j"] == k)
     return let(placed, lambda v: F.transform(cells, lambda k: total(F.transform(F.filter(v, lambda p: here(p, k)), lambda p: p["w"]))))
 
 
+@dataclass(frozen=True)
+class Vectorizers:
+    """What ``fit_vectorizers`` learnt, one row of it, and where each component lies in the features."""
+
+    fitted: DataFrame
+    slices: dict[str, tuple[int, int]]
+
+
+def fit_vectorizers(train: DataFrame, bars: str, points: int = 16, levels: int = 3, size: int = 8) -> Vectorizers:
+    """Grid and bounds of entropy, Betti curve, landscape and image from the finite bars of ``train``.
+
+    Both are aggregates over the bars, one row in all; nothing else is learnt.
+    """
+    flat = train.select(F.explode(finite_bars(F.col(bars))).alias("x")).select("x.birth", (F.col("x.death") - F.col("x.birth")).alias("length"))
+    ends = flat.agg(*[f(c).alias(f"{c}_{n}") for c in ("birth", "length") for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    for c in ("birth", "length"):
+        ends = ends.withColumn(f"{c}_lo", F.coalesce(f"{c}_lo", F.lit(0.0))).withColumn(f"{c}_hi", F.coalesce(f"{c}_hi", F.lit(1.0)))
+        ends = ends.withColumn(f"{c}_hi", F.when(F.col(f"{c}_hi") - F.col(f"{c}_lo") < 1e-12, F.col(f"{c}_lo") + 1.0).otherwise(F.col(f"{c}_hi")))
+    sizes = {"entropy": 1, "betti_curve": points, "landscape": levels * points, "image": size * size}
+    slices, start = {}, 0
+    for name, n in sizes.items():
+        slices[name], start = (start, start + n), start + n
+    return Vectorizers(fitted_grid(train, bars, points).crossJoin(ends), slices)
+
+
+def vectorized(df: DataFrame, bars: str, v: Vectorizers) -> DataFrame:
+    """``df`` with ``features``: the components one after the other, as ``v.slices`` says."""
+    b, both = F.col(bars), df.crossJoin(F.broadcast(v.fitted))
+    size = int((v.slices["image"][1] - v.slices["image"][0]) ** 0.5)
+    levels = (v.slices["landscape"][1] - v.slices["landscape"][0]) // (v.slices["betti_curve"][1] - v.slices["betti_curve"][0])
+    image = weighted_histogram(b, F.col("birth_lo"), F.col("birth_hi"), F.col("length_hi"), size, F.col("length_lo"))
+    parts = [F.array(entropy(b)), betti_curve(finite_bars(b), F.col("grid")).cast("array<double>"), landscape(b, F.col("grid"), levels), image]
+    return both.withColumn("features", F.concat(*parts)).drop(*v.fitted.columns)
+
+
 def summary(bars: Column) -> Column:
     """Struct (n, total, mean, longest, entropy, n_long): long bars reach a tenth of the longest."""
     v = lengths(bars)

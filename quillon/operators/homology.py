@@ -6,8 +6,9 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 BARS = ArrayType(StructType([StructField("dim", IntegerType()), StructField("birth", DoubleType()), StructField("death", DoubleType())]))
 
@@ -165,17 +166,38 @@ def _pop_odd(heap: list[int]) -> int | None:
     return None
 
 
-@F.pandas_udf(BARS)
-def field_persistence(fields: pd.Series) -> pd.Series:
-    """Bars of each 2-D field (array of rows); a null or unusable field has none."""
+DIAGRAM = StructType([StructField("bars", BARS), StructField("error", StringType())])
+
+
+def field_diagrams(fields: Column, superlevel: bool = False, unit: bool = False) -> Column:
+    """Struct (bars, error) of each 2-D field (array of rows).
+
+    Superlevel bars are those of one less the field. With ``unit`` values must lie within 0
+    to 1. A null, ragged, empty or not finite field has no bars and says why in ``error``;
+    a good one has a null error. Nothing is made up for a field that fails.
+    """
 
-    def one(f):
+    def one(f) -> dict:
         try:
-            return [{"dim": k, "birth": b, "death": d} for k, b, d in field_bars(np.stack([np.asarray(r, dtype=float) for r in f]))] if f is not None else []
-        except ValueError:
-            return []
+            if f is None:
+                raise ValueError("no field")
+            x = np.stack([np.asarray(r, dtype=float) for r in f])
+            if unit and x.size and not ((x >= 0) & (x <= 1)).all():
+                raise ValueError("values outside 0 to 1")
+            return {"bars": [{"dim": k, "birth": b, "death": d} for k, b, d in field_bars(1 - x if superlevel else x)], "error": None}
+        except (ValueError, TypeError) as e:
+            return {"bars": [], "error": str(e)}
+
+    @F.pandas_udf(DIAGRAM)
+    def each(f: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(f.map(one).tolist(), columns=["bars", "error"])
+
+    return each(fields)
+
 
-    return fields.map(one)
+def field_persistence(fields) -> Column:
+    """Sublevel bars of each 2-D field; a null or unusable field has none, see ``field_diagrams`` for why."""
+    return field_diagrams(F.col(fields) if isinstance(fields, str) else fields)["bars"]
 
 
 @F.pandas_udf(BARS)

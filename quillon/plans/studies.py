@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import vec
 from quillon.operators import boxes, diagrams, resample, runs
 from quillon.plans.evaluation import scored
 from quillon.plans.registry import collector
 from quillon.plans.views import class_clouds
+from quillon.session import cut
 from quillon.sources.tables import table
 
 QUERIES, ORACLES, query = collector()
@@ -82,17 +84,23 @@ def bars(spark, d):
     return e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("birth", "death"))).alias("b"))
 
 
-GRID = [float(x) for x in range(0, 160, 10)]
-_G = "[" + ", ".join(str(x) for x in GRID) + "]"
+def grid_sql(name: str, points: int, where: str = "true") -> str:
+    return f"""{name} as (select list_transform(range(0, {points}), lambda i: lo + i * ((hi - lo) / {points - 1})) as g from (
+  select min(x.birth) as lo, max(x.death) as hi from (select unnest(f) as x from fin where {where})))"""
 
 
-def _grid():
-    return F.array(*[F.lit(x) for x in GRID])
+# Users that vectorizers are fitted on.
+FITTED = "user_id % 5 != 0"
+GRID = grid_sql("gr", 16, FITTED)
 
 
-@query(f"with {BARS} select user_id, array_to_string(list_transform({_G}, lambda t: len(list_filter(b, lambda x: x.birth <= t and t < x.death))), ',') as curve, len(list_filter(b, lambda x: x.death = 'inf'::double)) as essential from fin")
+@query(f"with {BARS}, {GRID} select user_id, array_to_string(list_transform(g, lambda t: len(list_filter(f, lambda x: x.birth <= t and t < x.death))), ',') as curve, len(list_filter(b, lambda x: x.death = 'inf'::double)) as essential from fin, gr")
 def betti_curves(spark, d):
-    return bars(spark, d).select("user_id", F.array_join(diagrams.betti_curve(F.col("b"), _grid()).cast("array<string>"), ",").alias("curve"), diagrams.essential_count(F.col("b")).alias("essential"))
+    """Finite bars alive at 16 points from the least to the largest end of the fitting users' bars."""
+    b = cut(bars(spark, d))
+    both = b.crossJoin(F.broadcast(diagrams.fitted_grid(b.where(FITTED), "b", 16)))
+    curve = diagrams.betti_curve(diagrams.finite_bars(F.col("b")), F.col("grid"))
+    return both.select("user_id", F.array_join(curve.cast("array<string>"), ",").alias("curve"), diagrams.essential_count(F.col("b")).alias("essential"))
 
 
 @query(f"""with {BARS}, l as (select user_id, list_transform(f, lambda x: x.death - x.birth) as v from fin), t as (select user_id, v, coalesce(list_sum(v), 0) as s from l)
@@ -104,12 +112,13 @@ def diagram_summaries(spark, d):
     return s.select("user_id", "n", F.round("total", 5).alias("total"), *[F.round(c, 6).alias(c) for c in ("mean", "longest", "entropy")], "n_long")
 
 
-@query(f"""with {BARS}, g as (select user_id, list_transform({_G}, lambda t: list_sort(list_transform(f, lambda x: greatest(0, least(t - x.birth, x.death - t))), 'DESC')) as r from fin)
-select user_id, round(list_sum(list_transform(r, lambda x: coalesce(x[1], 0))), 5) as level_1, round(list_sum(list_transform(r, lambda x: coalesce(x[2], 0))), 5) as level_2, round(list_sum(list_transform(r, lambda x: coalesce(x[3], 0))), 5) as level_3 from g""")
+@query(f"""with {BARS}, {GRID}, h as (select user_id, list_transform(g, lambda t: list_sort(list_transform(f, lambda x: greatest(0, least(t - x.birth, x.death - t))), 'DESC')) as r from fin, gr)
+select user_id, round(list_sum(list_transform(r, lambda x: coalesce(x[1], 0))), 5) as level_1, round(list_sum(list_transform(r, lambda x: coalesce(x[2], 0))), 5) as level_2, round(list_sum(list_transform(r, lambda x: coalesce(x[3], 0))), 5) as level_3 from h""")
 def landscapes(spark, d):
-    v = bars(spark, d).select("user_id", diagrams.landscape(F.col("b"), _grid()).alias("v"))
-    k = len(GRID)
-    return v.select("user_id", *[F.round(F.aggregate(F.slice("v", i * k + 1, k), F.lit(0.0), lambda a, x: a + x), 5).alias(f"level_{i + 1}") for i in range(3)])
+    """Sums of the three highest landscape levels over the fitted grid."""
+    b = cut(bars(spark, d))
+    v = b.crossJoin(F.broadcast(diagrams.fitted_grid(b.where(FITTED), "b", 16))).select("user_id", diagrams.landscape(F.col("b"), F.col("grid")).alias("v"))
+    return v.select("user_id", *[F.round(vec.total(F.slice("v", i * 16 + 1, 16)), 5).alias(f"level_{i + 1}") for i in range(3)])
 
 
 @query(f"""with {BARS}, bd as (select min(x.birth) as lo, max(x.birth) as hi, max(x.death - x.birth) as tall from (select unnest(f) as x from fin)),
@@ -148,7 +157,7 @@ def _boxes(spark, d):
     part, supp, line = (F.col(c).cast("bigint") for c in ("l_partkey", "l_suppkey", "l_linenumber"))
     b = table(spark, d, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("image_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("gt_id"), (part % 97).cast("double").alias("x"), (supp % 89).cast("double").alias("y"),
-        (4 + part % 13).cast("double").alias("w"), (4 + supp % 11).cast("double").alias("h"), ((part + line) % 5).cast("double").alias("dx"), ((part * 7919 + supp * 104729 + line) % 1000003 / 1000003).alias("confidence"),
+        (4 + part % 13).cast("double").alias("w"), (4 + supp % 11).cast("double").alias("h"), ((part + line) % 5).cast("double").alias("dx"), ((part * 7919 + supp * 104729 + line) % 1000003 / 1000003).alias("confidence"), "l_orderkey", "l_partkey",
     )
     box = lambda x: F.struct(x.alias("x_min"), F.col("y").alias("y_min"), (x + F.col("w")).alias("x_max"), (F.col("y") + F.col("h")).alias("y_max"))
     return b.withColumn("truth", box(F.col("x"))).withColumn("found", box(F.col("x") + F.col("dx")))
@@ -173,8 +182,6 @@ def _matches(spark, d, bound):
 @query()
 def detection_report(spark, d):
     """Counts, precision, recall and average precision of greedy matching at an overlap of one half."""
-    from quillon.session import cut
-
     m = cut(_matches(spark, d, 0.5))
     return boxes.precision_recall(m).crossJoin(boxes.average_precision(m, []).select(F.round("ap", 6).alias("ap50")))
 
