@@ -118,3 +118,24 @@ def average_hash(pixels: Column) -> Column:
 def finite(a: Column) -> Column:
     """True where every element is a finite number."""
     return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+
+
+def linear_quantile(a: Column, q: float) -> Column:
+    """The linear quantile of the elements of one array; null for an empty array."""
+
+    def pick(v: Column) -> Column:
+        place = (F.size(v) - 1) * F.lit(q)
+        low, high = F.get(v, F.floor(place).cast("int")), F.get(v, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    return F.when(F.size(a) > 0, let(F.array_sort(a), pick))
+
+
+def percentile_scaled(a: Column, low: float = 0.01, high: float = 0.99) -> Column:
+    """The array scaled to 0..1 between two of its quantiles and clipped; all 0 where they agree."""
+
+    def scaled(p: Column) -> Column:
+        width = p["hi"] - p["lo"]
+        return F.transform(a, lambda x: F.when(width <= 1e-12, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - p["lo"]) / width))))
+
+    return let(F.struct(linear_quantile(a, low).alias("lo"), linear_quantile(a, high).alias("hi")), scaled)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import composites, evaluation, manifest, scores, studies
+from quillon.plans import composites, evaluation, labels, manifest, scores, studies, tables
 
-_MODULES: list = [scores, evaluation, manifest, studies, composites]
+_MODULES: list = [scores, evaluation, manifest, studies, composites, labels, tables]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.functions import vec
+from quillon.functions import names, vec
 from quillon.functions.text import normalize_label, split_name
 from quillon.operators import calibrate, metrics, scorers
 from quillon.plans.registry import collector
+from quillon.plans.scores import ORACLES as SCORES
 from quillon.plans.sqltext import ARCHIVE, n, split
 from quillon.plans.views import archive
+from quillon.session import cut, small_side
 from quillon.sources.tables import table
 
 QUERIES, ORACLES, query = collector()
@@ -89,13 +91,13 @@ union all select 'unknown_recall', round(avg((given = 'UNKNOWN')::double), 9) fr
 union all select 'macro_f1', round(v, 9) from f1 union all select 'oscr', round(v, 9) from ov""")
 def open_set_metrics(spark, d):
     """The metric bundle of one scored test set in long form."""
-    p = predictions(spark, d)
+    p = cut(predictions(spark, d).select("pos", "score", "truth", "given", "closed", "label", "confidence"))
     counts = metrics.score_counts(p, [], F.col("pos"), F.col("score"))
     labels = p.select(F.explode(F.array("truth", "given")).alias("label")).distinct()
     f1 = metrics.class_report(p, "truth", "given", labels).agg(F.avg("f1").alias("v"))
     parts = {
         "auroc": metrics.auroc(counts, []), "aupr": metrics.average_precision(counts, []),
-        "fpr95": metrics.fpr_at_tpr(p, [], F.col("pos"), F.col("score")),
+        "fpr95": metrics.fpr_of_counts(counts, []),
         "known_recall": p.where("not pos").agg(F.avg((F.col("given") != "UNKNOWN").cast("double"))),
         "unknown_recall": p.where("pos").agg(F.avg((F.col("given") == "UNKNOWN").cast("double"))),
         "macro_f1": f1, "oscr": metrics.oscr(p, [], ~F.col("pos"), F.col("closed") == F.col("label"), F.col("confidence")),
@@ -173,11 +175,12 @@ def per_unknown_class(spark, d):
     """Each unknown class against all known rows; known scores are counted once, by value."""
     s = scored(spark, d).where("split = 'test'")
     u = s.where("pos").select("label", "score")
-    classes = F.broadcast(u.select("label").distinct())
+    classes = small_side(u.select("label").distinct())
     known = metrics.score_counts(s.where("not pos"), [], F.col("pos"), F.col("score"))
     both = metrics.score_counts(u, ["label"], F.lit(True), F.col("score")).unionByName(known.crossJoin(classes)).groupBy("label", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    stats = u.groupBy("label").agg(F.count("*").alias("n"), F.percentile("score", F.lit(1 - 0.95)).alias("q"), F.avg("score").alias("mean_score"), F.percentile("score", F.lit(0.5)).alias("median_score"))
-    fpr = known.crossJoin(F.broadcast(stats.select("label", "q"))).groupBy("label").agg((F.sum(F.when(F.col("score") > F.col("q"), F.col("neg")).otherwise(0)) / F.sum("neg")).alias("fpr95"))
+    stats = u.groupBy("label").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")).join(metrics.medians(u, ["label"], "score", "median_score"), "label")
+    both = cut(both)
+    fpr = metrics.fpr_of_counts(both, ["label"]).withColumnRenamed("fpr", "fpr95")
     out = metrics.auroc(both, ["label"]).join(stats, "label").join(fpr, "label")
     return out.select("label", "n", *[F.round(c, 9).alias(c) for c in ("auroc", "fpr95")], *[F.round(c, 8).alias(c) for c in ("mean_score", "median_score")])
 
@@ -250,9 +253,7 @@ def _covered(spark, d):
         F.broadcast(points.select("strategy", "target", F.col("confidence").alias("c"), F.col("margin").alias("m"), F.col("unknown").alias("u")))
     )
     args = [F.col(x) for x in ("confidence", "margin", "unknown_score", "quality_pass", "c", "m", "u")]
-    hit = F.lit(False)
-    for name in ("confidence_only", "confidence_margin", "confidence_margin_msp_qc"):
-        hit = F.when(F.col("strategy") == name, calibrate.accepted(name, *args)).otherwise(hit)
+    hit = calibrate.accepted_by(F.col("strategy"), *args)
     known, unknown = F.col("status") == "known", F.col("status") == "unknown"
     ratio = lambda a, b: F.when(b > 0, a / b)
     k = F.count_if(known & F.col("hit") & F.col("correct").isNotNull())
@@ -288,17 +289,50 @@ def highest_scores(spark, d):
     return r.withColumn("place", F.row_number().over(w)).where("place <= 5").select("label", "n", F.round("m", 8).alias("mean_score"), "place")
 
 
+def compared(rows):
+    """(method_id, auroc, fpr95) of (method_id, pos, score), all methods in one pass."""
+    counts = metrics.score_counts(rows, ["method_id"], F.col("pos"), F.round("score", 9))
+    both = metrics.auroc(counts, ["method_id"]).join(metrics.fpr_of_counts(counts, ["method_id"]), "method_id")
+    return both.select("method_id", F.round("auroc", 6).alias("auroc"), F.round("fpr", 6).alias("fpr95"))
+
+
+def method_scores(spark, d, methods):
+    """(method_id, pos, score) of the test rows under each (method, variant), fitted on known training rows only."""
+    a = cut(archive(spark, d))
+    train, test = cut(scorers.train_only(a)), cut(a.where("split = 'test'"))
+    out = None
+    for method, variant in methods:
+        name = names.method_id(F.lit(method), F.lit(variant)).alias("method_id")
+        one = scorers.fit_and_score(method, variant, train, test).select(name, (F.col("status") == "unknown").alias("pos"), "score")
+        out = one if out is None else out.unionByName(one)
+    return cut(out)
+
+
+FITTED_METHODS = (("mahalanobis", "pinv"), ("mahalanobis", "ledoit-wolf"), ("mahalanobis", "relative"), ("vim", "0.95"), ("ncm", "standardized"), ("react", "p85"), ("react", "p95"))
+PLAIN_METHODS = (
+    ("msp", "primary"), ("entropy", "natural_log"), ("energy", "T=0.5"), ("energy", "T=1.0"), ("energy", "T=2.0"), ("ncm", "euclidean"), ("ncm", "cosine"),
+    ("knn_cosine", "k=1"), ("knn_cosine", "k=5"), ("knn_cosine", "k=10"), ("react", "p90"),
+)
+
+
 @query()
 def method_comparison(spark, d):
-    """AUROC and FPR at 95 % of every registered scorer, each fitted on known training rows only."""
-    a = archive(spark, d)
-    train, test = scorers.train_only(a), a.where("split = 'test'")
-    out = None
-    for name in scorers.REGISTRY:
-        s = scorers.create_scorer(name)
-        col = s if isinstance(s, Column) else s.fit(train).score()
-        rows = test.select((F.col("status") == "unknown").alias("pos"), F.round(col, 9).alias("score"))
-        one = metrics.auroc(metrics.score_counts(rows, [], F.col("pos"), F.col("score")), []).crossJoin(metrics.fpr_at_tpr(rows, [], F.col("pos"), F.col("score")))
-        row = one.select(F.lit(name).alias("method"), F.round("auroc", 6).alias("auroc"), F.round("fpr", 6).alias("fpr95"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """AUROC and FPR at 95 % of the whole matrix of methods on the test rows."""
+    return compared(method_scores(spark, d, PLAIN_METHODS + FITTED_METHODS))
+
+
+_LONG = " union all ".join([
+    *(f"select '{m}' as method_id, sample_id, {c} as score from lg" for m, c in (("msp_primary", "msp"), ("entropy_natural_log", "entropy"), ("energy_t0_5", "energy_t05"), ("energy_t1_0", "energy_t1"), ("energy_t2_0", "energy_t2"))),
+    "select 'ncm_euclidean', sample_id, nearest from ce", "select 'ncm_cosine', sample_id, score from nc", *(f"select 'knn_cosine_k{k}', sample_id, knn{k} from kn" for k in (1, 5, 10)), "select 'react_p90', sample_id, score from re",
+])
+
+
+@query(f"""with {ARCHIVE}, lg as ({SCORES['score_logits']}), ce as ({SCORES['osr_centroid_scores']}), nc as ({SCORES['score_ncm_cosine']}), kn as ({SCORES['score_knn']}), re as ({SCORES['score_react']}),
+lo as (select method_id, status = 'unknown' as pos, round(score, 5) as score from ({_LONG}) s join (select distinct sample_id, status from archive where split = 'test') using (sample_id)),
+rk as (select method_id, pos, rank() over (partition by method_id order by score) + (count(*) over (partition by method_id, score) - 1) / 2.0 as r from lo),
+au as (select method_id, (sum(case when pos then r end) - sum(pos::int) * (sum(pos::int) + 1) / 2.0) / (sum(pos::int) * sum((not pos)::int)) as auroc from rk group by 1),
+th as (select method_id, quantile_cont(score, 1 - 0.95) as q from lo where pos group by 1), fp as (select method_id, avg((score > q)::double) as fpr from lo join th using (method_id) where not pos group by 1)
+select method_id, round(auroc, 6) as auroc, round(fpr, 6) as fpr95 from au join fp using (method_id)""")
+def plain_method_comparison(spark, d):
+    """AUROC and FPR at 95 % of the methods that need sums only, from scores of five digits."""
+    return compared(method_scores(spark, d, PLAIN_METHODS).withColumn("score", F.round("score", 5)))

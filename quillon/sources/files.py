@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import io
 import posixpath
+import struct
 import zipfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quillon.functions.text import normalize_label, strip
+from quillon.operators.taxonomy import Taxonomy
 
 # Image file extensions, words for true, and manifest columns.
 EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
@@ -32,19 +36,109 @@ def image_files(spark: SparkSession, root: str, with_content: bool = False) -> D
     return files.select("path", "length", *(["content"] if with_content else []))
 
 
-def build_manifest(spark: SparkSession, root: str, dataset: str, group_depth: int | None = None) -> DataFrame:
-    """One row a file: label from the first folder, group from the folder at ``group_depth``,
-    checksum of the bytes, and an id hashed from dataset, path and checksum.
-
-    Each file is hashed where it is read; there is no shuffle.
+def _png(b: bytes) -> tuple[int, int] | None:
+    return struct.unpack(">II", b[16:24]) if b[:8] == b"\x89PNG\r\n\x1a\n" and len(b) >= 24 else None
+
+
+def _bmp(b: bytes) -> tuple[int, int] | None:
+    if b[:2] != b"BM" or len(b) < 26:
+        return None
+    w, h = struct.unpack("<ii", b[18:26])
+    return w, abs(h)
+
+
+def _jpeg(b: bytes) -> tuple[int, int] | None:
+    """Walks the segments to the frame header, whose marker is C0 to CF but for C4, C8 and CC."""
+    if b[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while at + 9 <= len(b) and b[at] == 0xFF:
+        marker = b[at + 1]
+        if marker == 0xFF:
+            at += 1
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack(">HH", b[at + 5 : at + 9])
+            return w, h
+        else:
+            at += 2 + struct.unpack(">H", b[at + 2 : at + 4])[0]
+    return None
+
+
+def _tiff(b: bytes) -> tuple[int, int] | None:
+    """Reads tags 256 and 257 of the first directory."""
+    if b[:4] not in (b"II*\0", b"MM\0*"):
+        return None
+    order = "<" if b[:2] == b"II" else ">"
+    at = struct.unpack(order + "I", b[4:8])[0]
+    found = {}
+    for k in range(struct.unpack(order + "H", b[at : at + 2])[0]):
+        tag, kind = struct.unpack(order + "HH", b[at + 2 + 12 * k : at + 6 + 12 * k])
+        if tag in (256, 257):
+            value = b[at + 10 + 12 * k : at + 14 + 12 * k]
+            found[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), value[: 2 if kind == 3 else 4])[0]
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
+def image_size(content: bytes | None) -> tuple[int, int] | None:
+    """(width, height) from the header of a PNG, BMP, JPEG or TIFF; None where there is none. No pixel is decoded."""
+    for read in (_png, _bmp, _jpeg, _tiff):
+        try:
+            size = read(content or b"")
+        except (struct.error, IndexError):
+            size = None
+        if size:
+            return size
+    return None
+
+
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
+def image_sizes(content: pd.Series) -> pd.DataFrame:
+    sizes = [image_size(c) or (None, None) for c in content]
+    return pd.DataFrame(sizes, columns=["width", "height"]).astype("Int32")
+
+
+def build_manifest(spark: SparkSession, root: str, dataset: str, group_depth: int | None = None, taxonomy: Taxonomy | None = None, strict: bool = False) -> DataFrame:
+    """One row a file with all manifest columns, ready for ``save_manifest``.
+
+    The label is the first folder, the group the folder at ``group_depth``, the checksum
+    that of the bytes, the id a hash of dataset, path and checksum; canonical label and
+    status follow the taxonomy (without one, N and null), the split is open (''). Width and
+    height come from the file's header; where it has none they are null, or raise with
+    ``strict``. Each file is read once, where it lies; there is no shuffle.
     """
     base = root.rstrip("/")
     rel = F.regexp_replace(F.expr("split_part(path, ':', -1)"), f"^/*{base.lstrip('/')}/", "")
     parts = F.split(rel, "/")
     group = F.coalesce(F.get(parts, group_depth), F.lit("")) if group_depth is not None else F.lit("")
-    f = image_files(spark, root, True).select(rel.alias("path"), F.sha2("content", 256).alias("checksum"), F.get(parts, 0).alias("original_label"), group.alias("group_id"))
-    key = F.concat_ws(":", F.lit(dataset), "path", "checksum")
-    return f.select(F.substring(F.sha1(key), 1, 20).alias("sample_id"), "path", F.lit(dataset).alias("dataset"), "original_label", normalize_label(F.col("original_label")).alias("canonical_label"), "group_id", "checksum")
+    f = image_files(spark, root, True).select(rel.alias("path"), F.sha2("content", 256).alias("checksum"), F.get(parts, 0).alias("original_label"), group.alias("group_id"), image_sizes("content").alias("size"))
+    key, label = F.concat_ws(":", F.lit(dataset), "path", "checksum"), F.col("original_label")
+    unread = F.raise_error(F.concat(F.lit("no image size in "), F.col("path"))).cast("int")
+    side = lambda c: F.coalesce(F.col(f"size.{c}"), unread) if strict else F.col(f"size.{c}")
+    return f.select(
+        F.substring(F.sha1(key), 1, 20).alias("sample_id"), "path", F.lit(dataset).alias("dataset"), "original_label",
+        (taxonomy.canonical(label) if taxonomy else normalize_label(label)).alias("canonical_label"), (taxonomy.status(label) if taxonomy else F.lit(None).cast("string")).alias("known_status"),
+        F.lit("").alias("split"), "group_id", "checksum", side("width").alias("width"), side("height").alias("height"),
+    )
+
+
+def training_rows(manifest: DataFrame, split: str, with_unknown: bool = False) -> DataFrame:
+    """The rows of one split, known ones only unless told otherwise, in the order of their ids within a partition."""
+    rows = manifest.where(F.col("split") == split)
+    return (rows if with_unknown else rows.where(F.col("known_status") == "known")).repartitionByRange("sample_id").sortWithinPartitions("sample_id")
+
+
+def synthetic_manifest(spark: SparkSession, n: int, known: tuple[str, ...], unknown: tuple[str, ...] = (), seed: int = 13) -> DataFrame:
+    """``n`` made-up manifest rows, the same for the same seed: labels, groups and sizes from hashes of the row number."""
+    h = lambda salt: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 30))
+    labels = F.array(*[F.lit(x) for x in (*known, *unknown)])
+    place = (h(1) % (len(known) + len(unknown))).cast("int")
+    rows = spark.range(n).withColumn("place", place).withColumn("label", F.get(labels, F.col("place")))
+    path = F.concat_ws("/", "label", F.concat(F.lit("g"), h(2) % 50), F.concat(F.format_string("%08d", "id"), F.lit(".png")))
+    return rows.select(
+        F.substring(F.sha1(F.concat_ws(":", F.lit(seed), "id")), 1, 20).alias("sample_id"), path.alias("path"), F.lit("synthetic").alias("dataset"), F.col("label").alias("original_label"),
+        normalize_label(F.col("label")).alias("canonical_label"), F.when(F.col("place") < len(known), "known").otherwise("unknown").alias("known_status"), F.lit("").alias("split"),
+        F.concat(F.lit("g"), h(2) % 50).alias("group_id"), F.sha2(F.concat_ws("|", "id", F.lit(seed)), 256).alias("checksum"), (64 + h(3) % 64).cast("int").alias("width"), (64 + h(4) % 64).cast("int").alias("height"),
+    )
 
 
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -84,8 +178,6 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
         return annotation_lines(spark.read.text(path))
 
     def members(batches):
-        import pandas as pd
-
         for pdf in batches:
             for content in pdf["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:

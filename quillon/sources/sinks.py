@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.session import cut, release
 from quillon.sources.files import MANIFEST_SCHEMA
 
 MANIFEST_COLUMNS = tuple(part.split()[0] for part in MANIFEST_SCHEMA.split(", "))
@@ -20,13 +21,33 @@ def save_manifest(df: DataFrame, path: str) -> None:
     df.select(*MANIFEST_COLUMNS).orderBy("sample_id").write.mode("overwrite").csv(path, header=True)
 
 
-def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None, form: str = "parquet") -> None:
+    """A table as Parquet, or as CSV files with a header each; CSV takes no arrays or structs."""
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    if form == "csv":
+        writer = writer.option("header", True)
+    (writer.partitionBy(*partition_by) if partition_by else writer).format(form).save(path)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_rows(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """Rows added to a table; a CSV reader skips the header of every file, so each name is a row once or never."""
+    writer = df.write.mode("append")
+    (writer.option("header", True) if form == "csv" else writer).format(form).save(path)
+
+
+def rewrite(df: DataFrame, path: str) -> None:
+    """Write ``df`` over the table at ``path`` even if it was read from there: it is materialised elsewhere first."""
+    held = cut(df)
+    save_table(held, path)
+    release(held)
+
+
+def update_table(spark: SparkSession, path: str, key: str, value: str, changes: dict) -> None:
+    """Set the columns of ``changes`` on the rows whose key is ``value``, in place; a missing key raises."""
+    table = spark.read.parquet(path)
+    if table.where(F.col(key) == value).isEmpty():
+        raise ValueError(f"no row with {key} = {value}")
+    rewrite(updated(table, key, value, changes), path)
 
 
 def save_once(df: DataFrame, path: str) -> bool:
