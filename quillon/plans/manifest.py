@@ -166,15 +166,25 @@ def images(spark, d):
     return i.where("id != ''").groupBy("id").agg(F.min("h").alias("h"), F.min("split").alias("split"), F.min("sha").alias("sha"))
 
 
-@query(f"with {HASHED} select a.id as key_a, b.id as key_b, hamming(a.h, b.h) as hamming from img a join img b on a.id < b.id and hamming(a.h, b.h) <= 4")
+_FIRST = "rep as (select h, min(id) as id, count(*) as n from img where h is not null group by 1)"
+
+
+@query(f"with {HASHED}, {_FIRST} select a.id as key_a, b.id as key_b, hamming(a.h, b.h) as hamming from rep a join rep b on a.id < b.id and hamming(a.h, b.h) <= 4")
 def hamming_pairs(spark, d):
-    return hashjoin.hamming_pairs(images(spark, d), "id", "h", 4)
+    """Pairs of image classes with near hashes, a class standing for its images of one hash; see ``equal_hash_groups``."""
+    first = images(spark, d).where("h is not null").groupBy("h").agg(F.min("id").alias("id"))
+    return hashjoin.hamming_pairs(first, "id", "h", 4)
 
 
-@query(f"with {HASHED} select a.id as key_a, b.id as key_b from img a join img b on a.h = b.h and a.id < b.id")
-def equal_hash_pairs(spark, d):
+@query(f"with {HASHED}, {_FIRST} select img.id as id, rep.id as class_id, n from img join rep using (h)")
+def equal_hash_groups(spark, d):
+    """Class of each image with a hash: the least image of the same hash, and how many there are.
+
+    Members are never paired with each other, so a hash that many images share costs one row an image.
+    """
     i = images(spark, d).where("h is not null").select("id", "h")
-    return i.select(F.col("id").alias("key_a"), "h").join(i.select(F.col("id").alias("key_b"), "h"), "h").where("key_a < key_b").select("key_a", "key_b")
+    first = i.groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    return i.join(first, "h").select("id", "class_id", "n")
 
 
 # A sample's field is its vector scaled to 0..1; its hash has a bit a cell of the field resized from 96 to 64 values.

@@ -135,6 +135,30 @@ def score_react(spark, d):
     return score.select("sample_id", F.round("score", 8).alias("score"))
 
 
+def _fitted(name):
+    def run(spark, d):
+        a = archive(spark, d)
+        s = scorers.create_scorer(name).fit(scorers.train_only(a))
+        return a.where("split != 'train'").select("sample_id", F.round(s.score(), 6).alias("score"))
+
+    run.__name__ = f"score_{name}"
+    return run
+
+
+for _name in ("mahalanobis", "mahalanobis_lw", "relative_mahalanobis", "vim"):
+    query()(_fitted(_name))
+
+
+@query(f"""with {ARCHIVE}, {MEANS}, x as (select list_transform(list_zip(e, m), lambda p: p[1] - p[2]) as v from archive a join means on a.label = means.label where split = 'train' and status = 'known'),
+n as (select count(*) as n from x) select i - 1 as i, j - 1 as j, round(sum(v[i] * v[j]) / greatest(1, (select n from n) - 1), 5) as covariance from x, range(1, 97) a(i), range(1, 97) b(j) where i <= j group by 1, 2""")
+def pooled_covariance(spark, d):
+    """Upper half of the pooled within-class covariance of the training vectors, from one pass of moments."""
+    m = scorers.gather_moments(scorers.train_only(archive(spark, d)), "label", "e")
+    c = m.within() / max(1.0, m.n.sum() - 1)
+    size = len(c)
+    return spark.createDataFrame([(i, j, round(float(c[i, j]), 5) + 0.0) for i in range(size) for j in range(i, size)], "i int, j int, covariance double")
+
+
 @query(f"""with {ARCHIVE}, {MEANS} select a.label as label_a, b.label as label_b,
 round(case when a.label = b.label then 0 else sqrt(list_sum(list_transform(list_zip(a.m, b.m), lambda p: (p[1] - p[2]) ** 2))) end, 6) as distance from means a, means b""")
 def centroid_distance_matrix(spark, d):
