@@ -158,18 +158,31 @@ def bootstrap_open(rows: DataFrame, replicates: int = REPLICATES, seed: int = SE
     return rows.sparkSession.createDataFrame([_interval(k, estimate[k], v) for k, v in drawn.items()], _RESULT)
 
 
-def bootstrap_delta(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """(metric, estimate, lower, upper, n_replicates) of candidate less baseline over resamples.
+def bootstrap_deltas(rows: DataFrame, base: str, candidates: list[str], replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """(candidate, metric, estimate, lower, upper, n_replicates) of each candidate score less the base.
 
-    ``rows`` is (y, a, b): 1 for unknown, the two scores. Both scores of a row carry the
-    same weights, so the differences are paired; see ``bootstrap_open``.
+    ``rows`` holds y, 1 for unknown, and the scores. All scores of a row carry the same
+    weights, so the differences are paired; each score is replicated once, the base for all
+    candidates. See ``bootstrap_open``.
     """
-    kept = cut(rows.select("y", "a", "b").withColumn("id", F.monotonically_increasing_id()))
-    sides = [kept.select("id", "y", F.col(c).alias("s")) for c in "ab"]
-    a, b = (replicated_metrics(s, replicates, seed) for s in sides)
-    at_a, at_b = (_estimates(s) for s in sides)
+    kept = cut(rows.select("y", base, *candidates).withColumn("id", F.monotonically_increasing_id()))
+
+    def side(c: str) -> tuple[dict, dict]:
+        s = kept.select("id", "y", F.col(c).alias("s"))
+        return replicated_metrics(s, replicates, seed), _estimates(s)
+
+    drawn, at = side(base)
     less = lambda x, y: None if x is None or y is None else y - x
-    return rows.sparkSession.createDataFrame([_interval(k, less(at_a[k], at_b[k]), b[k] - a[k]) for k in a], _RESULT)
+    out = []
+    for c in candidates:
+        other, there = side(c)
+        out += [(c, *_interval(k, less(at[k], there[k]), other[k] - drawn[k])) for k in drawn]
+    return rows.sparkSession.createDataFrame(out, "candidate string, " + _RESULT)
+
+
+def bootstrap_delta(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """(metric, estimate, lower, upper, n_replicates) of ``b`` less ``a`` over ``rows`` (y, a, b)."""
+    return bootstrap_deltas(rows, "a", ["b"], replicates, seed).drop("candidate")
 
 
 def bootstrap_macro_f1(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:

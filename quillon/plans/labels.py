@@ -185,7 +185,7 @@ def detection_cells(spark, d):
     raw = F.get(F.array(*[F.lit(x) for x in RAW_LABELS]), (F.col("l_partkey") % 10).cast("int"))
     b = _boxes(spark, d).select("image_id", "gt_id", raw.alias("raw"), (F.col("l_orderkey") % 61).cast("string").alias("film"), boxes.clip(F.col("truth"), F.lit(96), F.lit(88)).alias("box"))
     c = cut(b.where("box is not null").select("image_id", "gt_id", "film", "raw", "box.*", names.cell_class(F.col("raw")).alias("m")).select("*", "m.*").drop("m"))
-    return c.join(small_side(splits.group_split(c, "film")), "film")
+    return checks.full_lookup(c, splits.group_split(c, "film"), "film")
 
 
 @query(f"with {CELLS} select image_id, gt_id, film, raw, morphology, status, eligible, reason, x_min, y_min, x_max, y_max, split from cells")

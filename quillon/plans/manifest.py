@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import vec
 from quillon.functions.bits import hash64
 from quillon.functions.text import normalize_label, split_name, strip, trim_lower
-from quillon.operators import hashjoin, near_duplicates, splits
+from quillon.operators import checks, hashjoin, near_duplicates, splits
 from quillon.plans.registry import collector
 from quillon.plans.sqltext import ARCHIVE, n, split, t
 from quillon.plans.views import archive
@@ -207,7 +207,8 @@ def fields(spark, d):
     first = archive(spark, d).groupBy("sample_id").agg(F.min(F.struct("label", "status", "split", "e")).alias("r")).select(F.col("sample_id").alias("id"), "r.*")
     sums = samples(spark, d).select(F.col("sample_id").alias("id"), F.when(F.col("checksum") != "", F.col("checksum")).alias("checksum"))
     scaled = vec.let(F.array_min("e"), lambda lo: vec.let(F.greatest(F.array_max("e") - lo, F.lit(1e-12)), lambda w: F.transform("e", lambda x: (x - lo) / w)))
-    return cut(first.join(sums, "id", "left").select("id", "label", "status", "split", "checksum", scaled.alias("field"), hash64(vec.average_hash(pooled(F.col("e")))).alias("h")))
+    both = checks.one_to_one(cut(first), cut(sums), ["id"], "left")
+    return cut(both.select("id", "label", "status", "split", "checksum", scaled.alias("field"), hash64(vec.average_hash(pooled(F.col("e")))).alias("h")))
 
 
 @query(f"with {FIELDS} select id as sample_id, h as bits from hashed")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import names, vec
-from quillon.operators import boxes, calibrate, checks, diagrams, metrics, resample, rules, runs, scorers
+from quillon.operators import boxes, calibrate, checks, diagrams, homology, metrics, resample, rules, runs, scorers
 from quillon.operators.centroids import class_means, with_nearest
 from quillon.operators.tdist import correlation_p
 from quillon.plans import evaluation as ev
@@ -395,3 +395,36 @@ def detection_threshold_sweep(spark, d):
     b = cut(_boxes(spark, d))
     g, f = b.select("image_id", "gt_id", "truth.*"), b.select("image_id", F.col("gt_id").alias("detection_id"), "confidence", "found.*")
     return boxes.threshold_sweep(f, g, [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
+
+
+@query()
+def bootstrap_methods(spark, d):
+    """Every plain method against maximum softmax: differences of AUROC and FPR at 95 % with bootstrap intervals."""
+    a = cut(archive(spark, d).groupBy("sample_id").agg(F.min(F.struct("label", "status", "split", "e", "z")).alias("r")).select("sample_id", "r.*"))
+    train, test = cut(scorers.train_only(a)), cut(a.where("split = 'test'"))
+    rows, found = test.select("sample_id", (F.col("status") == "unknown").cast("int").alias("y"), F.round(scorers.maximum_softmax(F.col("z")), 9).alias("msp_primary")), []
+    for method, variant in (("entropy", "natural_log"), ("ncm", "euclidean"), ("knn_cosine", "k=5")):
+        found.append(f"{method}_{variant}".replace("=", ""))
+        one = scorers.fit_and_score(method, variant, train, test).select("sample_id", F.round("score", 9).alias(found[-1]))
+        rows = checks.one_to_one(cut(rows), cut(one), ["sample_id"])
+    out = resample.bootstrap_deltas(rows, "msp_primary", found)
+    return out.select(F.col("candidate").alias("method_id"), "metric", *[F.round(c, 9).alias(c) for c in ("estimate", "lower", "upper")], "n_replicates")
+
+
+@query()
+def topology_only_evaluation(spark, d):
+    """Open-set and closed-set metrics from topology alone: diagrams of the samples' fields, vectorised
+    and scaled on known training rows, scored by the distance to the nearest class mean."""
+    lo, width = F.array_min("e"), F.greatest(F.array_max("e") - F.array_min("e"), F.lit(1e-12))
+    field = vec.let(F.struct(lo.alias("lo"), width.alias("w")), lambda p: F.transform("e", lambda x: (x - p["lo"]) / p["w"]))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col("f"), 12 * i + 1, F.lit(12)))
+    a = archive(spark, d).select("sample_id", "label", "status", "split", field.alias("f")).withColumn("g", homology.field_diagrams(rows, unit=True))
+    ok = cut(cut(a).where("g.error is null").select("sample_id", "label", "status", "split", F.transform("g.bars", lambda b: F.struct(b["birth"].alias("birth"), b["death"].alias("death"))).alias("b")))
+    fitted = diagrams.fit_vectorizers(ok.where("split = 'train' and status = 'known'"), "b")
+    v = cut(diagrams.vectorized(ok, "b", fitted).select("sample_id", "label", "status", "split", F.col("features").alias("e")))
+    scored_ = cut(scorers.nearest_class(scorers.train_only(v), v.where("split = 'test'"), scaled=True).select("label", "status", "score", "nearest_label"))
+    pos = F.col("status") == "unknown"
+    counts = metrics.score_counts(scored_, [], pos, F.round("score", 9))
+    closed = scored_.where("status = 'known'").agg(F.count("*").alias("n_known"), F.avg((F.col("label") == F.col("nearest_label")).cast("double")).alias("accuracy"))
+    out = metrics.auroc(counts, []).crossJoin(metrics.fpr_of_counts(counts, [])).crossJoin(closed)
+    return out.select(F.round("auroc", 6).alias("auroc"), F.round("fpr", 6).alias("fpr95"), "n_known", F.round("accuracy", 6).alias("accuracy"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import names, vec
-from quillon.operators import boxes, checks, diagrams, groups, homology, near_duplicates, prefix, rules, runs, scorers, tdist
+from quillon.operators import boxes, calibrate, checks, diagrams, groups, homology, near_duplicates, prefix, rules, runs, scorers, tdist
 from quillon.operators.taxonomy import Taxonomy, _plain_yaml, canonical_labels
 from quillon.session import cut, release
 from quillon.sources import files, sinks
@@ -81,6 +81,14 @@ def test_checks(spark):
     assert checks.run_id("r", 3, {}) == checks.run_id("r", 3, {})
 
 
+def test_development_threshold_needs_disjoint_classes(spark):
+    k = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "label string, s double")
+    u = spark.createDataFrame([("c", 0.9), ("d", 0.8)], "label string, s double")
+    assert calibrate.development_threshold(k, u, "s", 0.5, "label").first()["threshold"] == 0.2
+    with pytest.raises(ValueError, match="classes on both sides: b"):
+        calibrate.development_threshold(k, u.union(k.where("label = 'b'")), "s", 0.5, "label")
+
+
 def test_quantiles_and_ranks(spark):
     rng = np.random.default_rng(6)
     rows = [("ab"[i % 2], float(np.round(rng.normal(), 1))) for i in range(400)]
