@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import present, trim_lower
-from quillon.session import cut
+from quillon.session import cut, release
 
 MAX_HAMMING = 4
 
@@ -36,7 +36,7 @@ def connected_groups(pairs: DataFrame, left: Column | str, right: Column | str)
     labels. The tables of hooks, each smaller than the one before, are composed at the end.
 
     Every round and jump is checkpointed, so a lost executor costs one step and plans stay
-    short. Minima and distinct pairs are combined map-side; the joins are many-to-one on
+    short; its predecessor's files are deleted once it stands. Minima and distinct pairs are combined map-side; the joins are many-to-one on
     the label, where adaptive execution splits the partition of a hub.
 
     Pairs with a null end or equal ends link nothing and name no id. Repeated and mirrored
@@ -52,13 +52,10 @@ def connected_groups(pairs: DataFrame, left: Column | str, right: Column | str)
         hooks.append(ends)
         to_a = ends.select(F.col("a").alias("ka"), F.col("root").alias("ra"))
         to_b = ends.select(F.col("a").alias("kb"), F.col("root").alias("rb"))
-        edges = cut(
-            edges.join(to_a, edges["a"] == F.col("ka"))
-            .join(to_b, F.col("b") == F.col("kb"))
-            .where(F.col("ra") != F.col("rb"))
-            .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            .distinct()
-        )
+        linked = edges.join(to_a, edges["a"] == F.col("ka")).join(to_b, F.col("b") == F.col("kb"))
+        left_over = cut(linked.where(F.col("ra") != F.col("rb")).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        release(edges)
+        edges = left_over
     if not hooks:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
     labels = hooks.pop()
@@ -73,7 +70,8 @@ def connected_groups(pairs: DataFrame, left: Column | str, right: Column | str)
 
 
 def _jump(parents: DataFrame) -> DataFrame:
-    """Every (a, root) with root replaced by its root, until nothing moves."""
+    """Every (a, root) with root replaced by its root, until nothing moves; earlier files are deleted."""
+    held = parents
     while True:
         up = parents.select(F.col("a").alias("k"), F.col("root").alias("next"))
         stepped = cut(
@@ -81,7 +79,8 @@ def _jump(parents: DataFrame) -> DataFrame:
                 "a", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")
             )
         )
-        parents = stepped.select("a", "root")
+        release(held)
+        held, parents = stepped, stepped.select("a", "root")
         if stepped.where("moved").isEmpty():
             return parents
 
