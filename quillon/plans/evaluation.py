@@ -173,7 +173,7 @@ f as (select label, avg((k.score > q)::double) as fpr from t, k group by 1)
 select label, n, round(auroc, 9) as auroc, round(fpr, 9) as fpr95, round(m, 8) as mean_score, round(md, 8) as median_score from a join t using (label) join f using (label)""")
 def per_unknown_class(spark, d):
     """Each unknown class against all known rows; known scores are counted once, by value."""
-    s = scored(spark, d).where("split = 'test'")
+    s = cut(scored(spark, d).where("split = 'test'").select("label", "pos", "score"))
     u = s.where("pos").select("label", "score")
     classes = small_side(u.select("label").distinct())
     known = metrics.score_counts(s.where("not pos"), [], F.col("pos"), F.col("score"))

@@ -16,7 +16,7 @@ CLOUD_POINTS = 192
 def archive(spark: SparkSession, d: str) -> DataFrame:
     """(sample_id, label, status, split, e, z): usable rows of the embedding archive.
 
-    Repeated rows are dropped; rows without id, label, status, split, or with a vector
+    Repeated rows are dropped, as stored floats, before they become doubles; rows without id, label, status, split, or with a vector
     that is not 96 finite numbers or logits that are not 5, are not usable.
     """
     rows = table(spark, d, "embedding_archive")
@@ -25,10 +25,11 @@ def archive(spark: SparkSession, d: str) -> DataFrame:
         .where((F.size("embedding") == 96) & vec.finite(F.col("embedding")) & (F.size("logits") == 5) & vec.finite(F.col("logits")))
         .select(
             "sample_id", normalize_label(F.col("true_label")).alias("label"), normalize_label(F.col("known_status")).alias("status"),
-            split_name(F.col("split")).alias("split"), vec.doubles(F.col("embedding")).alias("e"), vec.doubles(F.col("logits")).alias("z"),
+            split_name(F.col("split")).alias("split"), F.col("embedding").alias("e"), F.col("logits").alias("z"),
         )
         .where(F.col("status").isin("known", "unknown") & F.col("split").isNotNull())
         .distinct()
+        .withColumn("e", vec.doubles(F.col("e"))).withColumn("z", vec.doubles(F.col("z")))
     )
 
 
