@@ -124,7 +124,7 @@ def replicated_metrics(rows: DataFrame, replicates: int = REPLICATES, seed: int
     got = placed.mapInPandas(_at_ranks(replicates, seed, before, ranks), "found array<double>").collect()
     ends = np.full(ranks.shape, np.nan)
     for r in got:
-        one = np.array(r["found"]).reshape(ranks.shape)
+        one = np.array(r["found"], dtype=float).reshape(ranks.shape)  # NaN comes back from Arrow as null
         ends = np.where(np.isnan(one), ends, one)
     bound = ends[0] + (ends[1] - ends[0]) * (place - ranks[0])
     above = sum((np.array(r["n"]) for r in placed.mapInPandas(_above(replicates, seed, bound), "n array<double>").collect()), np.zeros(replicates))
