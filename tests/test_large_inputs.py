@@ -32,3 +32,14 @@ def test_paired_replicates_over_several_ranges(spark):
         pos, neg = np.repeat(a[y == 1], w[y == 1]), np.repeat(a[y == 0], w[y == 0])
         assert got["fpr95"][r] == pytest.approx((neg > np.quantile(pos, 1 - 0.95)).mean())
     assert [(r["metric"], r["n_replicates"]) for r in delta] == [("auroc", 6), ("fpr95", 6)]
+
+
+def test_open_interval_over_several_ranges(spark):
+    """The driver of ``bootstrap_report``: its FPR interval holds the estimate though no range holds all ranks."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i % 3 == 0), float(round(rng.normal() + (i % 3 == 0), 2))) for i in range(900)]
+    with pieces(spark):
+        got = {r["metric"]: r for r in resample.bootstrap_open(spark.createDataFrame(rows, "y int, s double"), 40).collect()}
+    y, s = (np.array(c) for c in zip(*rows, strict=True))
+    assert got["fpr95"]["estimate"] == pytest.approx((s[y == 0] > np.quantile(s[y == 1], 1 - 0.95)).mean())
+    assert all(r["lower"] <= r["estimate"] <= r["upper"] and r["n_replicates"] == 40 for r in got.values())
