@@ -12,7 +12,7 @@ from quillon.operators import centroids, metrics, scorers
 from quillon.operators.neighbors import nearest_neighbors
 from quillon.plans.sqltext import ARCHIVE
 from quillon.plans.views import archive
-from quillon.session import cut
+from quillon.session import cut, release
 
 # The similarity with a zero vector is 0, where the function gives NaN.
 _COSINE = re.compile(r"list_cosine_similarity\(([\w.]+), ([\w.]+)\)")
@@ -107,8 +107,9 @@ def score_ncm_cosine(spark, d):
   from archive q, archive b where q.split != 'train' and b.split = 'train' and b.status = 'known')
 select sample_id, round(avg(d) filter (r <= 1), 8) as knn1, round(avg(d) filter (r <= 5), 8) as knn5, round(avg(d) filter (r <= 10), 8) as knn10 from s group by 1""")
 def score_knn(spark, d):
-    a = archive(spark, d)
+    a = cut(archive(spark, d).select("sample_id", "status", "split", "e"))
     near = nearest_neighbors(a.where("split != 'train'"), scorers.train_only(a), "sample_id", "e", 10)
+    release(a)
     mean = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, F.col("distance"))), 8).alias(f"knn{k}")
     return near.groupBy(F.col("id").alias("sample_id")).agg(mean(1), mean(5), mean(10))
 

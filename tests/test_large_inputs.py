@@ -5,7 +5,7 @@ from contextlib import contextmanager
 import numpy as np
 import pytest
 
-from quillon.operators import resample
+from quillon.operators import neighbors, resample
 
 
 @contextmanager
@@ -43,3 +43,23 @@ def test_open_interval_over_several_ranges(spark):
     y, s = (np.array(c) for c in zip(*rows, strict=True))
     assert got["fpr95"]["estimate"] == pytest.approx((s[y == 0] > np.quantile(s[y == 1], 1 - 0.95)).mean())
     assert all(r["lower"] <= r["estimate"] <= r["upper"] and r["n_replicates"] == 40 for r in got.values())
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_neighbours_need_no_broadcast_bank(spark, monkeypatch, same):
+    """Blocks, partitions of the bank and tiles of a few rows, with ties, zero vectors and repeated ids."""
+    for name, n in (("PART_BLOCKS", 2), ("TILE_ROWS", 7), ("EXACT_AT_ONCE", 20)):
+        monkeypatch.setattr(neighbors, name, n)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.integers(-2, 3, (80, 3)), np.zeros((3, 3)), rng.normal(size=(30, 3))])
+    ids = [f"v{i % 100:02}" for i in range(len(x))]
+    df = spark.createDataFrame([(k, [float(t) for t in v]) for k, v in zip(ids, x, strict=True)], "k string, v array<double>")
+    got = neighbors.nearest_neighbors(df, df, "k", "v", 4, skip_self=same, block_rows=20)
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    d = np.round(np.clip(1 - u @ u.T, 0, 2), 12)
+    want = []
+    for k in sorted(set(ids)):
+        met = sorted((float(d[i, j]), ids[j]) for i in range(len(x)) if ids[i] == k for j in range(len(x)) if not (same and ids[j] == k))
+        want += [(k, n, s) for s, n in met[:4]]
+    assert sorted((r["id"], r["neighbor"], round(r["distance"], 9)) for r in got.collect()) == sorted((k, n, round(s, 9)) for k, n, s in want)
