@@ -17,6 +17,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 from quillon.functions.vec import let, total
 
 INF = float("inf")
+DENSE_CELLS = 250_000
+CELLS_AT_ONCE = 2_000_000
+STEPS_AT_ONCE = 200_000
 
 
 def finite_bars(bars: Column) -> Column:
@@ -163,11 +166,14 @@ def bottleneck_of(p: np.ndarray, q: np.ndarray) -> float:
 
     Shorter bars may end at the diagonal. A matching that covers the long bars of both sides
     exists if each side's long bars can be matched to some bars of the other side
-    (Mendelsohn and Dulmage), so two small one-sided matchings decide a step.
+    (Mendelsohn and Dulmage), so two small one-sided matchings decide a step. Diagrams with
+    more than DENSE_CELLS pairs of bars are decided without a table of all pairs.
     """
     if not len(p) + len(q):
         return 0.0
     half_p, half_q = (p[:, 1] - p[:, 0]) / 2, (q[:, 1] - q[:, 0]) / 2
+    if len(p) * len(q) > DENSE_CELLS:
+        return _bottleneck_of_many(p, q, half_p, half_q)
     cost = np.maximum(np.abs(p[:, None, 0] - q[None, :, 0]), np.abs(p[:, None, 1] - q[None, :, 1]))
     halves = np.concatenate([half_p, half_q])
     steps = np.unique(np.concatenate([halves, cost[cost < halves.max()]]))
@@ -220,3 +226,126 @@ def _perfect(allowed: np.ndarray) -> bool:
                 for x, y in zip(rows, columns, strict=True):
                     mine[x], owner[y] = y, x
                 break
+
+
+def _bottleneck_of_many(p: np.ndarray, q: np.ndarray, half_p: np.ndarray, half_q: np.ndarray) -> float:
+    """``bottleneck_of`` with room for the bars, not for their pairs.
+
+    The distance is a half length or a difference of two births or two deaths. A bisection
+    by value runs until few of these lie between its ends, which are then tried themselves.
+    """
+    p, half_p, q, half_q = *_by_death(p, half_p), *_by_death(q, half_q)
+    sides = _Side(p, q, half_p), _Side(q, p, half_q)
+    ends = [(np.unique(p[:, i]), np.unique(q[:, i])) for i in (0, 1)]
+    halves = np.unique(np.concatenate([half_p, half_q]))
+    lo, hi = -1.0, float(halves[-1])
+    while (steps := _steps(ends, halves, lo, hi)) is None:
+        mid = lo + (hi - lo) / 2
+        if not lo < mid < hi:
+            return hi
+        lo, hi = (lo, mid) if all(s.fits(mid) for s in sides) else (mid, hi)
+    lo, hi = 0, len(steps) - 1
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if all(s.fits(steps[mid]) for s in sides) else (mid + 1, hi)
+    return float(steps[lo])
+
+
+def _by_death(p: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((p[:, 0], -p[:, 1]))
+    return p[order], half[order]
+
+
+def _steps(ends: list, halves: np.ndarray, lo: float, hi: float) -> np.ndarray | None:
+    """The possible distances above ``lo`` and up to ``hi``, ascending; None if they are too many to list."""
+    spans, slack = [], 1e-9 * (1 + max(abs(x).max() for e in ends for x in e))
+    for a, b in ends:
+        for one, other in ((-hi, hi),) if lo < 0 else ((-hi, -lo), (lo, hi)):
+            spans.append((a, b, np.searchsorted(b, a + one - slack), np.searchsorted(b, a + other + slack, side="right")))
+    if sum(int((to - at).sum()) for _, _, at, to in spans) > max(STEPS_AT_ONCE, 8 * sum(len(x) for e in ends for x in e)):
+        return None
+    found = [halves]
+    for a, b, at, to in spans:
+        n = to - at
+        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
+        found.append(np.abs(np.repeat(a, n) - b[j]))
+    v = np.concatenate(found)
+    return np.unique(v[(lo < v) & (v <= hi)])
+
+
+class _Side:
+    """Matches the long bars of ``rows`` to bars of ``columns``, both by falling death; what was matched is kept for the next try."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, half: np.ndarray):
+        self.rows, self.columns, self.half = rows, columns, half
+        self.mine = np.where(np.arange(len(rows)) < len(columns), np.arange(len(rows)), -1)
+
+    def fits(self, t: float) -> bool:
+        """Whether every bar of half length above ``t`` can have its own column within ``t``."""
+        long, have = self.half > t, self.mine >= 0
+        if self._too_few(self.rows[long], t):
+            return False
+        have[have] = np.abs(self.rows[have] - self.columns[self.mine[have]]).max(axis=1) <= t
+        mine = np.where(long & have, self.mine, -1)
+        owner = np.full(len(self.columns), -1)
+        owner[mine[mine >= 0]] = np.flatnonzero(mine >= 0)
+        for r in np.flatnonzero(long & (mine < 0)):
+            free = np.flatnonzero(owner < 0)
+            near = (np.abs(self.columns[free] - self.rows[r]) <= t).all(axis=1)
+            if near.any():
+                c = free[near.argmax()]
+                mine[r], owner[c] = c, r
+        good = True
+        while good and len(left := np.flatnonzero(long & (mine < 0))):
+            good = self._augment(left, mine, owner, t)
+        self.mine = mine
+        return good
+
+    def _too_few(self, rows: np.ndarray, t: float) -> bool:
+        """Whether more rows lie beyond some birth or death than columns within ``t`` of there: then no matching is sought."""
+        for i in (0, 1):
+            x, y, n = np.sort(rows[:, i]), np.sort(self.columns[:, i]), np.arange(len(rows))
+            wide = t + 1e-9 * (1 + np.abs(x))
+            above, below = len(y) - np.searchsorted(y, x - wide), np.searchsorted(y, x + wide, side="right")
+            if (above < len(rows) - n).any() or (below < n + 1).any():
+                return True
+        return False
+
+    def _augment(self, left: np.ndarray, mine: np.ndarray, owner: np.ndarray, t: float) -> bool:
+        """One search by breadth from all rows in ``left``, a tree each; every tree that finds a free column gives it to its root's path."""
+        root = np.full(len(self.rows), -1)
+        root[left] = left
+        via, open_, ends = np.full(len(self.columns), -1), np.arange(len(self.columns)), {}
+        front = left
+        while len(front) and len(open_):
+            reached, open_ = self._reach(front, open_, via, t)
+            if not len(reached):
+                break
+            own = root[via[reached]]
+            for c, r in zip(reached[owner[reached] < 0], own[owner[reached] < 0], strict=True):
+                ends.setdefault(int(r), int(c))
+            taken = owner[reached] >= 0
+            front, own = owner[reached[taken]], own[taken]
+            root[front] = own
+            if ends:
+                front = front[~np.isin(own, list(ends))]
+        for c in ends.values():
+            while c >= 0:
+                r = via[c]
+                owner[c] = r
+                mine[r], c = c, mine[r]
+        return bool(ends)
+
+    def _reach(self, front: np.ndarray, open_: np.ndarray, via: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of ``open_`` within ``t`` of a row in ``front``, which ``via`` then names, and the columns left."""
+        front, found, at = np.sort(front), [], 0
+        while at < len(front) and len(open_):
+            here = front[at : at + max(1, CELLS_AT_ONCE // len(open_))]
+            at += len(here)
+            x, y = self.rows[here], self.columns[open_]
+            near = (np.abs(x[:, None, 0] - y[None, :, 0]) <= t) & (np.abs(x[:, None, 1] - y[None, :, 1]) <= t)
+            hit = near.any(axis=0)
+            via[open_[hit]] = here[near.argmax(axis=0)[hit]]
+            found.append(open_[hit])
+            open_ = open_[~hit]
+        return np.concatenate(found) if found else open_[:0], open_

@@ -17,7 +17,7 @@ from quillon.plans.scores import MEANS, NEAR, auroc_sql
 from quillon.plans.sqltext import ARCHIVE
 from quillon.plans.studies import BARS, FITTED, GRID, RUN, _boxes, bars, run_level
 from quillon.plans.views import archive
-from quillon.session import cut, small_side
+from quillon.session import cut, parallelism, small_side
 from quillon.sources.tables import table
 
 QUERIES, ORACLES, query = collector()
@@ -364,7 +364,8 @@ def pairwise_bottlenecks(spark, d):
     e = table(spark, d, "events").where("value is not null").select("event_type", (F.col("user_id") % 5).alias("seed"), "user_id", "value")
     lo_hi = e.groupBy("event_type", "seed", "user_id").agg(F.min("value").alias("birth"), F.max("value").alias("death")).where("birth < death")
     b = cut(lo_hi.groupBy("event_type", "seed").agg(F.collect_list(F.array("birth", "death")).alias("p")))
-    pairs = runs.pairs_within(b, ["event_type"], "seed")
+    # A pair is two whole diagrams and a long computation: each core gets some.
+    pairs = runs.pairs_within(b, ["event_type"], "seed").repartition(parallelism(spark), "event_type", "seed_a", "seed_b")
     return pairs.select("event_type", "seed_a", "seed_b", F.round(diagrams.bottleneck("p_a", "p_b"), 6).alias("distance"))
 
 

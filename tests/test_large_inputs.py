@@ -1,11 +1,12 @@
 """Paths that only inputs of more than one piece, block or batch take, on small tables."""
 
+import tracemalloc
 from contextlib import contextmanager
 
 import numpy as np
 import pytest
 
-from quillon.operators import neighbors, resample
+from quillon.operators import diagrams, neighbors, resample
 
 
 @contextmanager
@@ -63,3 +64,20 @@ def test_neighbours_need_no_broadcast_bank(spark, monkeypatch, same):
         met = sorted((float(d[i, j]), ids[j]) for i in range(len(x)) if ids[i] == k for j in range(len(x)) if not (same and ids[j] == k))
         want += [(k, n, s) for s, n in met[:4]]
     assert sorted((r["id"], r["neighbor"], round(r["distance"], 9)) for r in got.collect()) == sorted((k, n, round(s, 9)) for k, n, s in want)
+
+
+def test_bottleneck_of_many_bars_needs_no_table_of_pairs(monkeypatch):
+    rng = np.random.default_rng(12)
+    bars = lambda n: np.sort(np.round(rng.exponential(50, (n, 2)), 1), axis=1)
+    few = [(bars(rng.integers(1, 12)), bars(rng.integers(1, 12))) for _ in range(60)]
+    want = [diagrams.bottleneck_of(p, q) for p, q in few]
+    monkeypatch.setattr(diagrams, "DENSE_CELLS", -1)
+    monkeypatch.setattr(diagrams, "CELLS_AT_ONCE", 5)
+    assert [diagrams.bottleneck_of(p, q) for p, q in few] == want
+    monkeypatch.undo()
+    p = bars(4000)
+    tracemalloc.start()
+    assert diagrams.bottleneck_of(p, p + [0.0, 0.25]) <= 0.2500001
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
