@@ -226,10 +226,16 @@ def nearest_class(train: DataFrame, rows: DataFrame, cosine: bool = False, scale
     return centroids.with_nearest(rows, centroids.class_means(train, "label", "e"), "label", "e").withColumn("score", F.col("nearest"))
 
 
+def neighbour_means(train: DataFrame, rows: DataFrame, ks: list[int]) -> DataFrame:
+    """(sample_id, k1, k5, ..): mean cosine distance to the k nearest training rows, for all ``ks`` from one search."""
+    near = nearest_neighbors(rows, train, "sample_id", "e", max(ks))
+    means = [F.avg(F.when(F.col("rank") <= k, F.col("distance"))).alias(f"k{k}") for k in ks]
+    return near.groupBy(F.col("id").alias("sample_id")).agg(*means)
+
+
 def neighbour_mean(train: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """``rows`` with ``score``: mean cosine distance to the k nearest training rows."""
-    near = nearest_neighbors(rows, train, "sample_id", "e", k).groupBy("id").agg(F.avg("distance").alias("score"))
-    return rows.join(near, F.col("sample_id") == F.col("id")).drop("id")
+    return rows.join(neighbour_means(train, rows, [k]).withColumnRenamed(f"k{k}", "score"), "sample_id")
 
 
 def clipped_energy(train: DataFrame, rows: DataFrame, share: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import names, vec
 from quillon.functions.text import normalize_label, split_name
 from quillon.operators import calibrate, metrics, scorers
+from quillon.operators.checks import finite_scores
 from quillon.plans.registry import collector
 from quillon.plans.scores import ORACLES as SCORES
 from quillon.plans.sqltext import ARCHIVE, n, split
@@ -299,13 +300,20 @@ def compared(rows):
 def method_scores(spark, d, methods):
     """(method_id, pos, score) of the test rows under each (method, variant), fitted on known training rows only."""
     a = cut(archive(spark, d))
-    train, test = cut(scorers.train_only(a)), cut(a.where("split = 'test'"))
+    train, test = scorers.train_only(a), a.where("split = 'test'")
+    ks = [int(variant.split("=")[-1]) for method, variant in methods if method == "knn_cosine"]
+    near = cut(scorers.neighbour_means(train, test.select("sample_id", "e"), ks)) if ks else None
     out = None
     for method, variant in methods:
         name = names.method_id(F.lit(method), F.lit(variant)).alias("method_id")
-        one = scorers.fit_and_score(method, variant, train, test).select(name, (F.col("status") == "unknown").alias("pos"), "score")
+        if method == "knn_cosine":
+            one = finite_scores(test.join(near.select("sample_id", F.col("k" + variant.split("=")[-1]).alias("score")), "sample_id"), "score")
+        else:
+            one = scorers.fit_and_score(method, variant, train, test)
+        # One method after the other, so that the plan and the broadcasts of all are never held at once.
+        one = cut(one.select(name, (F.col("status") == "unknown").alias("pos"), "score"))
         out = one if out is None else out.unionByName(one)
-    return cut(out)
+    return out
 
 
 FITTED_METHODS = (("mahalanobis", "pinv"), ("mahalanobis", "ledoit-wolf"), ("mahalanobis", "relative"), ("vim", "0.95"), ("ncm", "standardized"), ("react", "p85"), ("react", "p95"))

@@ -81,3 +81,14 @@ def test_bottleneck_of_many_bars_needs_no_table_of_pairs(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60_000_000
+
+
+@pytest.mark.parametrize("name", ["plain_method_comparison", "method_comparison"])
+def test_one_neighbour_search_for_all_variants(spark, monkeypatch, name):
+    from quillon.operators import scorers
+    from quillon.plans import evaluation
+
+    searched, search = [], scorers.nearest_neighbors
+    monkeypatch.setattr(scorers, "nearest_neighbors", lambda *a: searched.append(a[4]) or search(*a))
+    got = evaluation.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert searched == [10] and {"knn_cosine_k1", "knn_cosine_k5", "knn_cosine_k10"} <= {r["method_id"] for r in got.collect()}
