@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vec
-from quillon.operators import centroids, metrics, scorers
-from quillon.operators.neighbors import nearest_neighbors
+from quillon.operators import centroids, fields, metrics, scorers
+from quillon.operators.neighbors import BLOCK_ROWS, PART_BLOCKS, nearest_neighbors, packed, products
 from quillon.plans.sqltext import ARCHIVE
 from quillon.plans.views import archive
 from quillon.session import cut, release
@@ -241,9 +241,10 @@ q as (select *, list_avg(list_transform(x, lambda v: (v - mx) ** 2)) as vx, list
 select sample_id, round(max((2 * mx * my + 1e-4) * (2 * c + 9e-4) / ((mx * mx + my * my + 1e-4) * (vx + vy + 9e-4))), 7) as best_similarity, round(max(c / sqrt(vx * vy)), 7) as best_correlation from q group by 1""")
 def field_similarity(spark, d):
     """Best structural similarity and correlation of a test sample with the validation samples of its class."""
-    a = archive(spark, d).where("status = 'known'")
-    test, bank = a.where("split = 'test'").select("sample_id", "label", "e"), a.where("split = 'validation'").select("label", F.col("e").alias("o"))
-    both = test.join(bank, "label")
-    return both.groupBy("sample_id").agg(
-        F.round(F.max(vec.structural_similarity(F.col("e"), F.col("o"))), 7).alias("best_similarity"), F.round(F.max(vec.normalized_correlation(F.col("e"), F.col("o"))), 7).alias("best_correlation")
-    )
+    a = cut(archive(spark, d).where("status = 'known' and split in ('test', 'validation')").select("sample_id", "label", "split", "e"))
+    side = lambda name, **parts: packed(a.where(F.col("split") == name), "sample_id", "e", BLOCK_ROWS, "label", **parts)
+    test, bank = side("test"), side("validation", part_blocks=PART_BLOCKS)
+    # Written as a range, so that the join stays a product of blocks and the largest class is not one task.
+    own = (F.col("kind") <= F.col("bank_kind")) & (F.col("kind") >= F.col("bank_kind"))
+    best = products(test, bank, fields.Best, fields.Best.meet, fields.Best.rows, fields.SCHEMA, own)
+    return best.groupBy("sample_id").agg(F.round(F.max("similarity"), 7).alias("best_similarity"), F.round(F.max("correlation"), 7).alias("best_correlation"))

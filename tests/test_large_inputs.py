@@ -92,3 +92,23 @@ def test_one_neighbour_search_for_all_variants(spark, monkeypatch, name):
     monkeypatch.setattr(scorers, "nearest_neighbors", lambda *a: searched.append(a[4]) or search(*a))
     got = evaluation.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert searched == [10] and {"knn_cosine_k1", "knn_cosine_k5", "knn_cosine_k10"} <= {r["method_id"] for r in got.collect()}
+
+
+def test_best_fields_by_block_agree_with_each_pair(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillon.functions import vec
+    from quillon.operators import fields
+
+    monkeypatch.setattr(fields, "ROWS_AT_ONCE", 3)
+    rng = np.random.default_rng(2)
+    x, y = (np.vstack([rng.normal(size=(8, 6)), np.full((2, 6), 0.1), np.full((1, 6), c)]) for c in (0.7, 0.9))
+    best = fields.Best(np.array([f"t{i:02}" for i in range(11)], dtype=object), x)
+    best.meet(np.arange(5), y[:5])
+    best.meet(np.arange(6), y[5:])
+    rows = [(f"t{i:02}", a.tolist(), b.tolist()) for i, a in enumerate(x) for b in y]
+    pairs = spark.createDataFrame(rows, "k string, a array<double>, b array<double>")
+    a, b = F.col("a"), F.col("b")
+    want = pairs.groupBy("k").agg(F.max(vec.structural_similarity(a, b)).alias("s"), F.max(vec.normalized_correlation(a, b)).alias("r")).orderBy("k").collect()
+    assert best.similarity == pytest.approx([r["s"] for r in want], abs=1e-9)
+    assert best.correlation == pytest.approx([r["r"] for r in want], abs=1e-9)
