@@ -17,7 +17,7 @@ from quillon.plans.scores import MEANS, NEAR, auroc_sql
 from quillon.plans.sqltext import ARCHIVE
 from quillon.plans.studies import BARS, FITTED, GRID, RUN, _boxes, bars, run_level
 from quillon.plans.views import archive
-from quillon.session import cut, parallelism, small_side
+from quillon.session import cut, parallelism, release, small_side
 from quillon.sources.tables import table
 
 QUERIES, ORACLES, query = collector()
@@ -401,13 +401,16 @@ def detection_threshold_sweep(spark, d):
 @query()
 def bootstrap_methods(spark, d):
     """Every plain method against maximum softmax: differences of AUROC and FPR at 95 % with bootstrap intervals."""
-    a = cut(archive(spark, d).groupBy("sample_id").agg(F.min(F.struct("label", "status", "split", "e", "z")).alias("r")).select("sample_id", "r.*"))
-    train, test = cut(scorers.train_only(a)), cut(a.where("split = 'test'"))
+    stored = archive(spark, d).withColumn("e", F.col("e").cast("array<float>"))
+    one = stored.groupBy("sample_id").agg(F.min(F.struct("label", "status", "split", "e", "z")).alias("r")).select("sample_id", "r.*")
+    a = cut(one.where("split = 'test' or (split = 'train' and status = 'known')"))
+    train, test = scorers.train_only(a), a.where("split = 'test'")
     rows, found = test.select("sample_id", (F.col("status") == "unknown").cast("int").alias("y"), F.round(scorers.maximum_softmax(F.col("z")), 9).alias("msp_primary")), []
     for method, variant in (("entropy", "natural_log"), ("ncm", "euclidean"), ("knn_cosine", "k=5")):
         found.append(f"{method}_{variant}".replace("=", ""))
         one = scorers.fit_and_score(method, variant, train, test).select("sample_id", F.round("score", 9).alias(found[-1]))
         rows = checks.one_to_one(cut(rows), cut(one), ["sample_id"])
+    release(a)
     out = resample.bootstrap_deltas(rows, "msp_primary", found)
     return out.select(F.col("candidate").alias("method_id"), "metric", *[F.round(c, 9).alias(c) for c in ("estimate", "lower", "upper")], "n_replicates")
 

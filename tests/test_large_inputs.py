@@ -4,7 +4,9 @@ import tracemalloc
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import DataFrame
 
 from quillon.operators import diagrams, neighbors, resample
 
@@ -112,3 +114,26 @@ def test_best_fields_by_block_agree_with_each_pair(spark, monkeypatch):
     want = pairs.groupBy("k").agg(F.max(vec.structural_similarity(a, b)).alias("s"), F.max(vec.normalized_correlation(a, b)).alias("r")).orderBy("k").collect()
     assert best.similarity == pytest.approx([r["s"] for r in want], abs=1e-9)
     assert best.correlation == pytest.approx([r["r"] for r in want], abs=1e-9)
+
+
+def test_no_pair_of_blocks_holds_both(spark):
+    """A query block goes to Python once a partition of the bank, not once a bank block."""
+    rows = [(f"v{i:02}", [float(i), 1.0, float(i % 7)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, v array<double>")
+    q, b = neighbors.packed(df, "k", "v", 20), neighbors.packed(df, "k", "v", 6, part_blocks=4)
+    size = lambda block, s: pd.DataFrame({"block": [block], "n": [s[0]]})
+    met = neighbors.products(q, b, lambda ids, m: [0, len(ids)], lambda s, ids, m: s.__setitem__(0, s[0] + s[1] * len(ids)), size, "block int, n bigint")
+    sent = met._jdf.queryExecution().analyzed().children().head()
+    pairs = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sent), spark).collect()
+    assert sum(r["q"] is not None for r in pairs) == q.count() * b.rdd.getNumPartitions() < q.count() * b.count()
+    assert all((r["q"] is None) != (r["b"] is None) for r in pairs)
+    assert sum(r["n"] for r in met.collect()) == 60 * 60
+
+
+def test_bootstrap_methods_keeps_one_copy_of_the_stored_vectors(spark, monkeypatch):
+    from quillon.plans import tables
+
+    kept, cut = [], tables.cut
+    monkeypatch.setattr(tables, "cut", lambda df: kept.append(dict(df.dtypes).get("e")) or cut(df))
+    got = tables.QUERIES["bootstrap_methods"](spark, "/root/testdata/sf0.001").collect()
+    assert [x for x in kept if x] == ["array<float>"] and len(got) == 6
