@@ -329,6 +329,43 @@ def test_neighbors_reach_brute_force(spark, hot_rows, monkeypatch):
     assert vector_neighbors.similar_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [100, 12_000])
+def test_neighbors_at_the_threshold_are_whole(spark, n):
+    """Pairs just above the similarity, of which the planned tables of a hashed search miss some."""
+    rng = np.random.default_rng(4)
+    u = rng.normal(size=(n, 96))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v = rng.normal(size=(n, 96))
+    v -= (u * v).sum(axis=1, keepdims=True) * u
+    v = 0.90001 * u + math.sqrt(1 - 0.90001**2) * v / np.linalg.norm(v, axis=1, keepdims=True)
+    rows = list(zip([f"{s}{i:05}" for s in "uv" for i in range(n)], np.vstack([u, v]).tolist(), strict=True))
+    got = {(r[0], r[1]) for r in vector_neighbors.similar_pairs(spark.createDataFrame(rows, "sample_id string, embedding array<float>")).collect()}
+    assert got == {(f"u{i:05}", f"v{i:05}") for i in range(n)}
+
+
+def test_close_pairs_of_small_blocks(spark, monkeypatch):
+    """Every number of wide blocks, pairs dropped early, against brute force."""
+    for name, size in (("BLOCK_ROWS", 5), ("WIDE", 2), ("BANK_BLOCKS", 3), ("EXACT_AT_ONCE", 7), ("PAIRS_HELD", 20), ("AXES", 3)):
+        monkeypatch.setattr(vector_neighbors, name, size)
+    rng = np.random.default_rng(6)
+    for n in (1, 9, 15, 37, 64):
+        x = (np.repeat(rng.normal(size=(-(-n // 8), 12)), 8, axis=0)[:n] + rng.normal(size=(n, 12)) * 0.3).astype(np.float32)
+        rows = spark.createDataFrame([(i, [float(t) for t in e]) for i, e in enumerate(x)], "id long, embedding array<float>")
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        s = u @ u.T
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if s[i, j] >= 0.9}
+        found = [(r["a"], r["b"]) for r in vector_neighbors.close_pairs(rows, 0.9, n).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+        near = {(r["a"], r["b"]) for r in vector_neighbors.close_pairs(rows, 0.9, 2).collect()}
+        least = {(min(i, j), max(i, j)) for i in range(n) for j in sorted((j for j in range(n) if j != i), key=lambda j: -s[i, j])[:2] if s[i, j] >= 0.9}
+        assert least <= near <= want
+        axes = np.linalg.qr(rng.normal(size=(12, 12)))[0][:, :3]
+        one = vector_neighbors._Close(np.arange(n), x, axes, 0.9, 2)
+        one.meet(np.arange(n), x, True)
+        got = one.result()
+        assert least <= set(zip(got["a"], got["b"], strict=True)) <= want
+
+
 def test_probe_order():
     sets = vector_neighbors.perturbations(3, 200)
     assert sets[0] == () and sets[1] == (0,) and len(set(sets)) == len(sets)
