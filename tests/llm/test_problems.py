@@ -344,8 +344,8 @@ def test_neighbors_at_the_threshold_are_whole(spark, n):
 
 
 def test_close_pairs_of_small_blocks(spark, monkeypatch):
-    """Every number of wide blocks, pairs dropped early, against brute force."""
-    for name, size in (("BLOCK_ROWS", 5), ("WIDE", 2), ("BANK_BLOCKS", 3), ("EXACT_AT_ONCE", 7), ("PAIRS_HELD", 20), ("AXES", 3)):
+    """Several numbers of blocks, pairs dropped early, against brute force."""
+    for name, size in (("BLOCK_ROWS", 5), ("PART_BLOCKS", 2), ("TILE_ROWS", 3), ("EXACT_AT_ONCE", 7), ("PAIRS_HELD", 20), ("AXES", 3)):
         monkeypatch.setattr(vector_neighbors, name, size)
     rng = np.random.default_rng(6)
     for n in (1, 9, 15, 37, 64):
