@@ -137,3 +137,13 @@ def test_bootstrap_methods_keeps_one_copy_of_the_stored_vectors(spark, monkeypat
     monkeypatch.setattr(tables, "cut", lambda df: kept.append(dict(df.dtypes).get("e")) or cut(df))
     got = tables.QUERIES["bootstrap_methods"](spark, "/root/testdata/sf0.001").collect()
     assert [x for x in kept if x] == ["array<float>"] and len(got) == 6
+
+
+def test_bootstrap_report_over_several_ranges(spark):
+    """The query itself, where no range holds all ranks of the quantile."""
+    from quillon.plans import tables
+
+    with pieces(spark):
+        got = {r["metric"]: r for r in tables.QUERIES["bootstrap_report"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == {"closed_macro_f1", "auroc", "fpr95"}
+    assert all(r["lower"] <= r["estimate"] <= r["upper"] and r["n_replicates"] == 200 for r in got.values())
